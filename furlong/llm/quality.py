@@ -31,7 +31,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("__r", F.expr(f"CASE WHEN size(__d) = 0 THEN array() WHEN size(__d) <= 64 THEN {few} ELSE {many} END"))
     df = df.withColumn("__l", F.expr(f"filter(split({t}, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
     gone = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
-    return df.withColumns({
+    stats = {
         "n_words": F.col("__n").cast("long"),
         "word_chars": F.length(F.array_join("__w", "")).cast("long"),
         "n_symbols": gone("#*$%&|<>").cast("long"),
@@ -40,7 +40,11 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_lines": F.size("__l").cast("long"),
         "n_upper": F.expr(f"cast(regexp_count({t}, '\\\\p{{Lu}}') as bigint)"),
         "n_marks": gone("!?").cast("long"),
-    }).drop(t, "__w", "__n", "__h", "__s", "__d", "__p", "__r", "__l")
+    }
+    # the generator keeps later filters from being rewritten in terms of the text, which would copy these expressions
+    # into each other without end
+    own = [c for c in docs.columns if c not in stats and not c.startswith("__")]
+    return df.select(*own, F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in stats.items()]))).alias("__stats")).select(*own, "__stats.*")
 
 
 #: Ratios that rules test, from the statistics; each is null where its divisor is 0.
@@ -156,14 +160,14 @@ def fit_quality_rules(
     bound in this module. Labels other than 0 and 1, null ids and ids without a document teach nothing."""
     sample = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__y"))
     sample = sample.orderBy(F.xxhash64("__id"), "__id").limit(most_labelled)
-    few = docs.select(F.col(id_col).alias("__id"), F.col(text_col)).join(F.broadcast(sample), "__id")
-    rows = ratios(text_statistics(few, text_col)).select("__y", F.xxhash64("__id").alias("__o"), *RATIOS).limit(2 * most_labelled).collect()
-    rows.sort(key=lambda r: r["__o"])
+    few = docs.select(F.col(id_col).alias("__id"), F.col(text_col)).join(F.broadcast(sample), "__id").withColumnsRenamed({"__id": "id_", "__y": "y_"})
+    rows = ratios(text_statistics(few, text_col)).select("y_", F.xxhash64("id_").alias("o_"), *RATIOS).limit(2 * most_labelled).collect()
+    rows.sort(key=lambda r: r["o_"])
     if not rows:
         return []
     x = {k: np.array([np.nan if r[k] is None else r[k] for r in rows], float) for k in RATIOS}
     with np.errstate(invalid="ignore"):
-        return learn_rules(x, np.array([r["__y"] == 0 for r in rows]))
+        return learn_rules(x, np.array([r["y_"] == 0 for r in rows]))
 
 
 def apply_quality_rules(

@@ -86,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _SHINGLES = (
-    "unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) "
+    "unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) "
     "WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g"
 )
 
@@ -98,7 +98,7 @@ g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i+49]
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM g WHERE first_doc < doc_id),
 r AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id),
 k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
-  CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(gone, i)), i -> w[i]) END AS kept
+  CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END AS kept
   FROM d LEFT JOIN r ON d.doc_id = r.doc_id)
 SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(n_removed AS bigint) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k""",
     "op10_benchmark_containment": f"""
