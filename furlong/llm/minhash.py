@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .vec import blobs, mix, shingle_sets, signed, text_slices, word_hashes
-from .work import broadcast_if, discard, materialize
+from .work import broadcast_if, materialize
 
 #: Fixed shape: BANDS keys of ROWS minima each, so a pair of similarity 0.85 shares no key with probability
 #: (1 - 0.85**4)**24 = 2e-8, of 0.8 with 4e-6; and BITS low bits of each of the BANDS * ROWS minima.
@@ -59,8 +59,26 @@ def centre(sig: np.ndarray) -> int:
     return int(votes[bits, np.arange(bits.shape[1])].sum(axis=1).argmax())
 
 
-BUCKET = "key long, rep long, sig binary"
-PAIRS = "a long, b long, key long, rep long, sig binary"
+#: Classes of one tile's side.
+TILE = 256
+
+
+def spanning(own: np.ndarray, ids: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that span the graph of a bucket's members whose estimates reach ``floor``: the centre's star first, then
+    each member that it leaves out is compared with all others."""
+    c = centre(own)
+    near = estimate(own, own[c]) >= floor
+    near[c] = True
+    a, b = [np.full(near.sum() - 1, ids[c])], [ids[near & (np.arange(len(ids)) != c)]]
+    label = np.where(near, c, np.arange(len(ids)))
+    for r in np.flatnonzero(~near):
+        hit = np.flatnonzero(estimate(own, own[r]) >= floor)
+        names, at = np.unique(label[hit], return_index=True)
+        other = names != label[r]
+        a.append(np.full(other.sum(), ids[r]))
+        b.append(ids[hit[at[other]]])
+        label[np.isin(label, names[other])] = label[r]
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
@@ -88,8 +106,38 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[lis
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    none = [pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *none], ["a", "b", "key", "rep", "sig"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def tile_links(rest: list, every: list, threshold: float) -> tuple[list[int], list[int]]:
+    """Links between two lists of (id, label, set) that join different labels, enough of them to join all that any do.
+
+    Shingles that stand in one set only cannot be shared; the others span a matrix whose product counts all
+    intersections at once."""
+    rows = [*rest, *every]
+    sizes = np.array([len(r[2]) for r in rows])
+    flat = np.concatenate([r[2] for r in rows])
+    names, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[place] > 1
+    column = (np.cumsum(count > 1) - 1)[place]
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    width, step = int((count > 1).sum()), 4096
+    inter = np.zeros((len(rest), len(every)), np.float32)
+    for lo in range(0, width, step):
+        part = shared & (column >= lo) & (column < lo + step)
+        m = np.zeros((len(rows), min(step, width - lo)), np.float32)
+        m[owner[part], column[part] - lo] = 1
+        inter += m[: len(rest)] @ m[len(rest) :].T
+    union = sizes[: len(rest), None] + sizes[None, len(rest) :] - inter
+    label = np.array([r[1] for r in rows])
+    x, y = np.nonzero(inter >= threshold * union - 1e-6)
+    a, b = [], []
+    for i, j in zip(x, y + len(rest), strict=True):
+        if label[i] != label[j]:
+            a.append(rows[i][0])
+            b.append(rows[j][0])
+            label[label == label[j]] = label[i]
+    return a, b
 
 
 def near_duplicates(
@@ -103,9 +151,11 @@ def near_duplicates(
     other row. Rows that repeat an id are equal in rank. An empty table gives no rows; other columns are ignored.
 
     Documents with equal sets become one class, represented by its smallest id. Classes that share a band key are
-    candidates. A bucket's centre is compared with its members; once those links are confirmed on the whole sets, only
-    members that are still in other components are compared with each other, so a large group of near copies costs one
-    pair a member. Whatever the buckets' sizes, no pair of candidates in different components is left untested."""
+    candidates if their packed signatures' estimate comes within SLACK of the threshold. Each bucket gives pairs that
+    span its candidates, from its centre where it can, so a large group of near copies costs one pair a member. These are
+    confirmed on the whole sets. A family (what candidates connect) whose links leave several components is compared
+    again, all members outside its largest component with all its members, in tiles of at most about TILE classes a
+    side, so that no link between components is lost and no pair becomes a row."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     smallest = -(2**63)
@@ -140,18 +190,12 @@ def near_duplicates(
             if ok.any():
                 yield _edges(rep[two][ok], rep[two + 1][ok])
             for f, s in zip(first[size > 2], size[size > 2], strict=True):
-                own, ids = sig[f : f + s], rep[f : f + s]
-                c = centre(own)
-                ok = (estimate(own, own[c]) >= floor) & (ids != ids[c])
-                if ok.any():
-                    yield _edges(np.full(ok.sum(), ids[c]), ids[ok])
-                # the bucket itself, for members that turn out to be in other components
-                none = pa.nulls(int(s), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(key[f : f + s]), pa.array(ids), blobs(own, np.arange(s + 1))], ["a", "b", "key", "rep", "sig"])
+                a, b = spanning(sig[f : f + s], rep[f : f + s], floor)
+                if len(a):
+                    yield _edges(a, b)
 
     buckets = classes.select(F.explode("bands").alias("key"), "rep", "sig").repartition(parts, "key").sortWithinPartitions("key", "rep")
-    found = materialize(buckets.mapInArrow(stars, PAIRS))
-    members = found.filter("key is not null").select("key", "rep", "sig")
+    pairs = materialize(buckets.mapInArrow(stars, "a long, b long").distinct())
 
     def sets_of(pairs: DataFrame, n: int) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -162,12 +206,11 @@ def near_duplicates(
                     h, at = shingle_sets(*word_hashes(data, offs, lower=True), k)
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), blobs(h, at)], ["doc_id", "shingles"])
 
-        # of rows that repeat an id any class of it may hold the smallest place: all its sets are kept apart by identity
         return materialize(rows.join(broadcast_if(ids, 32 * n), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
 
-    def confirmed(pairs: DataFrame, n: int) -> DataFrame:
-        own = sets_of(pairs, n)
+    own = sets_of(pairs, pairs.count())
 
+    def confirmed(pairs: DataFrame) -> DataFrame:
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ok = []
@@ -182,32 +225,34 @@ def near_duplicates(
         b = own.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
         return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
-    pairs = materialize(found.filter("a is not null").select("a", "b").distinct())
-    tested, links = pairs, materialize(confirmed(pairs, pairs.count()))
+    links = materialize(confirmed(pairs))
     component = materialize(connected_components(links))
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rep, label, sig in _groups(batches, ["key", "rep", "label", "sig"]):
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            for f, e in zip(first, np.append(first[1:], len(key)), strict=True):
-                ids, lab, own = rep[f:e], label[f:e], sig[f:e]
-                names, count = np.unique(lab, return_counts=True)
-                if len(names) == 1:
-                    continue
-                rest = np.flatnonzero(lab != names[count.argmax()])
-                for j in rest:  # each against all members of other components, in numpy
-                    ok = (lab != lab[j]) & (estimate(own, own[j]) >= floor)
-                    ok[rest[rest <= j]] = False
-                    if ok.any():
-                        yield _edges(np.full(ok.sum(), ids[j]), ids[ok]).select(["a", "b"])
-
-    labelled = members.join(component, members.rep == component.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("label"), "sig")
-    more = labelled.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(across, "a long, b long")
-    more = materialize(more.distinct().join(tested, ["a", "b"], "left_anti"))
-    n_more = more.count()
-    if n_more:
-        component = materialize(connected_components(links.unionByName(confirmed(more, n_more))))
-    discard(found)
+    # families: all classes that estimates connect; those whose links leave several components are looked at again
+    family = connected_components(pairs).select("node", F.col("component").alias("family"))
+    labels = family.join(component, "node", "left").select("node", "family", F.coalesce("component", "node").alias("label"))
+    count = labels.groupBy("family", "label").agg(F.count("*").alias("n"))
+    open_ = count.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label"))["label"].alias("main"), F.max("n").alias("most")).filter("most < size")
+    todo = materialize(labels.join(open_, "family"))
+    if todo.limit(1).count():
+        chunks = lambda n: F.ceil(n / TILE).cast("long")
+        spread = lambda n: F.pmod(F.xxhash64("node"), chunks(n))
+        data = todo.join(own, todo.node == own.doc_id)
+        rest_n = F.col("size") - F.col("most")
+        rest = data.filter("label <> main").withColumn("i", spread(rest_n)).withColumn("j", F.explode(F.sequence(F.lit(0), chunks(F.col("size")) - 1)))
+        every = data.withColumn("j", spread(F.col("size"))).withColumn("i", F.explode(F.sequence(F.lit(0), chunks(rest_n) - 1)))
+        cols = ["family", "i", "j", "node", "label", "shingles"]
+        tiles = rest.select(*cols, F.lit(True).alias("is_rest")).unionByName(every.select(*cols, F.lit(False).alias("is_rest")))
+
+        def compare(tile: pa.Table) -> pa.Table:
+            side: tuple[list, list] = [], []
+            for node, label, x, is_rest in zip(*(tile.column(c).to_pylist() for c in ("node", "label", "shingles", "is_rest")), strict=True):
+                side[is_rest].append((node, label, np.frombuffer(x, np.uint64)))
+            a, b = tile_links(side[1], side[0], threshold) if side[0] and side[1] else ([], [])
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        more = tiles.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+        component = materialize(connected_components(links.unionByName(materialize(more))))
 
     member = sk.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
     out = member.join(component, member.rep == component.node, "left")
