@@ -93,7 +93,7 @@ FROM runs JOIN b ON runs.venue = b.venue AND runs.class = b.class AND runs.day =
     "market_primitive": "SELECT contest_id, entity_id, round(q, 9) AS q, round(ln(q * n), 9) AS support FROM market",
     "support_shrunk": """WITH m AS (SELECT entity_id, day, sum(ln(q * n)) AS s, count(*) AS c FROM market GROUP BY entity_id, day),
 b AS (SELECT entity_id, day, sum(s) OVER w AS s, sum(c) OVER w AS c FROM m WINDOW w AS (PARTITION BY entity_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT entity_id, day, round(coalesce(s, 0) / (coalesce(c, 0) + 5), 6) AS support_career FROM b""",
+SELECT entity_id, day, round(coalesce(s, 0) / (coalesce(c, 0) + 5), 6) + 0e0 AS support_career FROM b""",
     "rank_percentile": """SELECT contest_id, entity_id, round(CASE WHEN count(*) OVER (PARTITION BY contest_id) > 1 THEN 1 - cast(popularity_started - 1 AS double) / (count(*) OVER (PARTITION BY contest_id) - 1) END, 6) AS pct
 FROM (SELECT *, rank() OVER (PARTITION BY contest_id ORDER BY odds) AS popularity_started FROM runs) x""",
     "expectation_residual": "SELECT contest_id, entity_id, round(won - q, 6) AS win_residual, round(1 - cast(finish_order - 1 AS double) / n - q, 6) AS finish_residual FROM market",
