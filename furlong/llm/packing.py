@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .tokens import END_ID, Encoder, crc32, text_lists
+from .tokens import END_ID, crc32, encoder, text_lists
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -111,7 +111,7 @@ def pack_sequences(
     schema = PIECES + ", ids array<long>" * with_ids
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = Encoder(tokenizer, keeps_space), SumOfSquares(size, most_open)
+        coder, packer = encoder(tokenizer, keeps_space), SumOfSquares(size, most_open)
         next_id = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
 

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,11 @@ class Encoder:
     order. With ``keeps_space`` a text in which a space is followed by white space or nothing goes to the library whole.
     The cache is emptied when it holds ``most`` units."""
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 400_000):
+    def __init__(self, path: str, keeps_space: bool, most: int = 1_000_000):
+        import os
         import re
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -64,44 +68,68 @@ class Encoder:
     def whole(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
 
-    def learn(self, known: dict[str, int], pieces: list[str], prefix: str) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for p, e in zip(new, self.lib.encode_batch([prefix + p for p in new], add_special_tokens=False), strict=True):
-            known[p] = self.add(e.ids)
+    def learn(self, known: dict[str, int], pieces: Iterable[str]) -> None:
+        """Units that follow a space: the new ones are encoded as one text, and each id is its unit's by its offset."""
+        new = list(set(pieces).difference(known))
+        if not new:
+            return
+        got = self.lib.encode(" " + " ".join(new), add_special_tokens=False)
+        start = np.cumsum(np.fromiter(map(len, new), np.int64) + 1)
+        place = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+        count = np.bincount(np.searchsorted(start, place, "right"), minlength=len(new))
+        k, n = len(got.ids), len(new)
+        while self.used + k > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + n > len(self.off):
+            self.off, self.cnt = (np.concatenate([a, np.zeros_like(a)]) for a in (self.off, self.cnt))
+        self.flat[self.used : self.used + k] = got.ids
+        self.off[self.n : self.n + n] = self.used + np.cumsum(count) - count
+        self.cnt[self.n : self.n + n] = count
+        known.update(zip(new, range(self.n, self.n + n), strict=True))
+        self.used, self.n = self.used + k, self.n + n
 
     def __call__(self, texts: list[str | None], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and each text's range in them."""
         if self.n > self.most:
             self.clear()
-        tail = self.add([end]) if end is not None else None
-        index: list[int] = []
-        sizes = []
-        for t in texts:
-            before = len(index)
-            if t:
-                if self.keeps_space and self.odd(t):
-                    index.append(self.add(self.whole(t)))
-                else:
-                    head, *rest = t.split(" ")
-                    if head not in self.first:
-                        self.learn(self.first, [head], "")
-                    index.append(self.first[head])
-                    if rest:
-                        got = list(map(self.later.get, rest))
-                        if None in got:
-                            self.learn(self.later, rest, " " * self.keeps_space)
-                            got = [self.later[p] for p in rest]
-                        index += got
-            if tail is not None:
-                index.append(tail)
-            sizes.append(len(index) - before)
-        unit = np.array(index, np.int64)
+        whole, heads, rests = {}, [], []
+        for k, t in enumerate(texts):
+            head, rest = "", []
+            if t and self.keeps_space and self.odd(t):
+                whole[k] = self.add(self.whole(t))
+            elif t:
+                head, *rest = t.split(" ")
+            heads.append(head)
+            rests.append(rest)
+        if self.keeps_space:
+            for head in set(heads).difference(self.first):
+                self.first[head] = self.add(self.whole(head))
+        else:
+            self.learn(self.first, heads)
+        self.learn(self.later, chain.from_iterable(rests))
+        later = np.fromiter(map(self.later.__getitem__, chain.from_iterable(rests)), np.int64)
+        first = np.fromiter(map(self.first.__getitem__, heads), np.int64)
+        first[list(whole)] = list(whole.values())
+        # each text: its first unit, the later ones, the end
+        sizes = np.fromiter(map(len, rests), np.int64) + 1 + (end is not None)
+        stop = np.cumsum(sizes)
+        unit, middle = np.empty(int(sizes.sum()), np.int64), np.ones(int(sizes.sum()), bool)
+        unit[stop - sizes], middle[stop - sizes] = first, False
+        if end is not None:
+            unit[stop - 1], middle[stop - 1] = self.add([end]), False
+        unit[middle] = later
         n = self.cnt[unit] if len(unit) else np.zeros(0, np.int64)
         ids = self.flat[expand(self.off[unit], n)] if len(unit) else np.zeros(0, np.uint32)
         ends = np.concatenate([[0], np.cumsum(n)])
         return ids, ends[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, keeps_space: bool) -> Encoder:
+    """The worker process' encoder: its cache serves all tasks that the process runs."""
+    return Encoder(path, keeps_space)
+
+
 def text_lists(col: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[str | None]]]:
     """Texts in lists of about ``most`` characters, each with the row of its first."""
     lo, step = 0, 256
@@ -173,7 +201,7 @@ def write_token_planes(
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, pid, chunk = Encoder(tokenizer, keeps_space), TaskContext.get().partitionId(), 0
+        coder, pid, chunk = encoder(tokenizer, keeps_space), TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         held_docs: list = []
         sizes: list[int] = []
