@@ -27,13 +27,19 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     from .operators import asof
-    from .plans import features, markets
+    from .plans import features, markets, reports
+    from .sources import loads
     from .sources.panel import panel, run, with_parts
+    from .streaming import quotes
 
-    for name, body in {**features.SQL, **markets.SQL}.items():
-        spark_body = body.replace("datediff('day', ", "datediff(DAY, ").replace("varchar(9)", "string").replace(" // ", " div ")
+    for name, body in {**features.SQL, **markets.SQL, **reports.SQL}.items():
+        spark_body = body.replace("datediff('day', ", "datediff(DAY, ").replace("varchar(9)", "string").replace(" // ", " div ").replace("json_extract_string(", "get_json_object(")
         register(name, lambda s, d, b=spark_body: run(s, d, b), with_parts(body))
 
+    for module in (loads, quotes):
+        for name, query in module.QUERIES.items():
+            register(name, query, module.ORACLE_SQL[name])
+
     from pyspark.sql import functions as F
 
     def runs(s: SparkSession, d: str) -> DataFrame:

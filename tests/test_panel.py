@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from furlong import registry
 from furlong.operators import asof
+from furlong.sources import loads
+from furlong.streaming import quotes
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,7 +40,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["asof_win_rate", "asof_previous_result", "field_percent_rank", "recent_form_3", "joint_exacta", "auc", "roi_by_year_band", "expectations"])
+@pytest.mark.parametrize("name", ["asof_win_rate", "asof_previous_result", "field_percent_rank", "recent_form_3", "joint_exacta", "auc", "roi_by_year_band", "expectations", "support_reductions", "rank_robust", "capped_allocation", "candidate_pairs", "top_k_hits", "stage_discount_fit", "delimited_audit", "payload_odds", "latest_quotes_stream", "first_snapshot_stream"])
 def test_oracle(spark, duck, name):
     got = registry.queries()[name](spark, SF).toPandas()
     want = duck.sql(registry.oracle_sql()[name]).df()
@@ -59,6 +61,30 @@ def test_same_day_is_not_before(spark):
     assert {r.c: r.prev for r in last.collect()} == {"c1": None, "c2": 1, "c3": 1, "c4": 1, "c5": None}
 
 
+def test_state_refuses_late_events(spark, tmp_path):
+    src, rows = str(tmp_path / "in"), [(1, "a", 10, 1.0), (2, "a", 20, 2.0)]
+    schema, out = "user long, kind string, t long, value double", str(tmp_path / "out")
+
+    def read():
+        return quotes.keyed_state(spark.readStream.schema(schema).parquet(src), ["user"], F.col("value"), F.col("t"), out)
+
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    assert {r.user: r.state for r in read().collect()} == {1: 1.0, 2: 2.0}
+    spark.createDataFrame([(1, "a", 9, 7.0), (2, "a", 21, 8.0), (3, "a", 1, 9.0)], schema).coalesce(1).write.mode("append").parquet(src)
+    assert {r.user: r.state for r in read().collect()} == {1: 1.0, 2: 8.0, 3: 9.0}
+
+
+def test_bad_rows_are_kept_apart(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("1,2.5\n2,----\n3\n4,1,9\n")
+    got = {r.k: (r.v, r.bad_row) for r in loads.read_delimited(spark, str(tmp_path / "x.csv"), "k int, v double").collect()}
+    assert got == {1: (2.5, None), 2: (None, "2,----"), 3: (None, "3"), 4: (1.0, "4,1,9")}
+
+
+def test_payload(spark):
+    rows = spark.createDataFrame([(1, '{"7": "2.5", "8": "---"}'), (2, "no json"), (3, None)], "c int, payload string")
+    assert {(r.c, r.e): r.odds for r in loads.parse_payload(rows, "payload", "e", "odds").collect()} == {(1, "7"): 2.5, (1, "8"): None}
+
+
 def test_exacta_of_three(spark):
     p = {"A": 0.5, "B": 0.3, "C": 0.2}
     df = spark.createDataFrame(list(p.items()), "e string, p double")
