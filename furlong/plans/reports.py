@@ -94,7 +94,7 @@ FROM a FULL OUTER JOIN b ON a.contest_id = b.contest_id AND a.entity_id = b.enti
     "coverage_characteristics": """SELECT captured, cast(count(*) AS bigint) AS contests, round(avg(cast(n AS double)), 6) AS mean_field, percentile_cont(0.5) WITHIN GROUP (ORDER BY n) AS median_field
 FROM (SELECT contest_id, count(*) AS n, CASE WHEN count(finish_order) = count(*) THEN 1 ELSE 0 END AS captured FROM runs GROUP BY contest_id) x GROUP BY captured""",
     "estimated_pair_odds": f"""WITH d AS (SELECT a.contest_id, a.entity_id AS f, b.entity_id AS s, a.q AS aq, power(b.q, 0.75) AS w FROM {PAIR}),
-c AS (SELECT contest_id, f, s, aq * w / sum(w) OVER (PARTITION BY contest_id, f) AS prob FROM d) SELECT contest_id, f, s, round(least(9999.0, 0.75 / prob), 4) AS pair_odds FROM c""",
+c AS (SELECT contest_id, f, s, aq * w / sum(w) OVER (PARTITION BY contest_id, f) AS prob FROM d) SELECT contest_id, f, s, round(least(9999.0, 0.75 / prob), 6) AS pair_odds FROM c""",
     "candidate_pairs": f"""SELECT contest_id, f, s, round(ev, 6) AS ev FROM (SELECT contest_id, f, s, ev, row_number() OVER (PARTITION BY contest_id ORDER BY round(ev, 9) DESC, f, s) AS k FROM (
 SELECT a.contest_id, a.entity_id AS f, b.entity_id AS s, a.p * b.p / nullif(1 - a.p, 0) * least(9999.0, 0.75 / (a.q * b.q) * (1 - a.q)) AS ev FROM {PAIR}) x WHERE ev >= 0.8) y WHERE k <= 5""",
     "settlement_exacta": """SELECT contest_id, CASE WHEN firsts = 1 AND seconds = 1 THEN f END AS first, CASE WHEN firsts = 1 AND seconds = 1 THEN s END AS second, CASE WHEN firsts = 1 AND seconds = 1 THEN 'settled' ELSE 'ambiguous' END AS state
