@@ -9,6 +9,33 @@ def calibration(score: str) -> str:
     return f"""SELECT least(cast(floor({score} * 10) AS bigint), 9) AS bin, cast(count(*) AS bigint) AS n, round(avg({score}), 6) AS mean_score, round(avg(cast(won AS double)), 6) AS win_rate FROM market GROUP BY least(cast(floor({score} * 10) AS bigint), 9)"""
 
 
+#: Rounds of x -> (x + key)**5 modulo the prime 2**31 - 1: each is a bijection, and no product leaves 64 bits.
+PRIME, ROUND_KEYS = 2147483647, (716414059, 1299709327, 387276917, 1640531527)
+
+
+def draws(reps: int) -> str:
+    """(rep, pick): for each replicate as many draws, with replacement, of the places 0 .. days - 1 as ``i`` (k, days) has rows."""
+    digits = " UNION ALL ".join(f"SELECT {d} AS d" for d in range(10))
+    width = len(str(reps - 1))
+    number = " + ".join(f"{10**j} * t{j}.d" for j in range(width))
+    x = f"SELECT rep, days, cast(k AS bigint) AS z FROM i CROSS JOIN (SELECT cast({number} AS bigint) AS rep FROM {' CROSS JOIN '.join(f'({digits}) t{j}' for j in range(width))}) r WHERE rep < {reps}"
+    for j, key in enumerate(ROUND_KEYS):
+        x = f"SELECT rep, days, (z + (rep + 1) * {48271 + 2 * j} + {key}) % {PRIME} AS z FROM ({x}) a{j}"
+        x = f"SELECT rep, days, z, z * z % {PRIME} AS z2 FROM ({x}) b{j}"
+        x = f"SELECT rep, days, z2 * z2 % {PRIME} * z % {PRIME} AS z FROM ({x}) c{j}"
+    return f"SELECT rep, z % days AS pick FROM ({x}) z"
+
+
+def day_bootstrap(reps: int = 2000, alpha: float = 0.05) -> str:
+    """Mean difference with its percentile interval over ``reps`` resamples of whole days; no interval below two days."""
+    return f"""WITH d AS (SELECT day, sum(p - won) AS s, count(*) AS n FROM market GROUP BY day), i AS (SELECT s, n, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS days FROM d),
+w AS ({draws(reps)}), c AS (SELECT rep, pick, count(*) AS times FROM w GROUP BY rep, pick),
+m AS (SELECT rep, sum(s * times) / sum(n * times) AS mean_diff FROM c JOIN i ON pick = k GROUP BY rep),
+b AS (SELECT count(*) AS reps, percentile_cont({alpha / 2}) WITHIN GROUP (ORDER BY mean_diff) AS low, percentile_cont({1 - alpha / 2}) WITHIN GROUP (ORDER BY mean_diff) AS high FROM m),
+t AS (SELECT count(*) AS days, sum(s) / sum(n) AS mean_diff FROM d)
+SELECT cast(days AS bigint) AS days, cast(reps AS bigint) AS reps, round(mean_diff, 6) AS mean_diff, round(CASE WHEN days >= 2 THEN low END, 6) AS ci_low, round(CASE WHEN days >= 2 THEN high END, 6) AS ci_high FROM t CROSS JOIN b"""
+
+
 SQL = {
     "joint_exacta": f"SELECT a.contest_id, a.entity_id AS first, b.entity_id AS second, round(a.p * b.p / (1 - a.p), 6) AS prob FROM {PAIR}",
     "joint_quinella": f"""SELECT a.contest_id, least(a.entity_id, b.entity_id) AS low, greatest(a.entity_id, b.entity_id) AS high, round(sum(a.p * b.p / (1 - a.p)), 6) AS prob
@@ -54,6 +81,7 @@ c AS (SELECT cast(sum(a) OVER (ORDER BY x) AS double) / cast(sum(a) OVER () AS d
 r AS (SELECT 0 AS rep UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7),
 w AS (SELECT rep, (cast(rep AS bigint) * 1103515245 + cast(k AS bigint) * 12345 + 7) % 2147483648 % days AS pick FROM i CROSS JOIN r), c AS (SELECT rep, pick, count(*) AS times FROM w GROUP BY rep, pick)
 SELECT rep, round(sum(s * times) / sum(n * times), 6) AS mean_diff FROM c JOIN i ON pick = k GROUP BY rep""",
+    "day_cluster_bootstrap_ci": day_bootstrap(),
     "entropy_dispersion": """SELECT contest_id, round(CASE WHEN max(n) > 1 THEN -sum(q * ln(q)) / ln(max(n)) END, 6) AS entropy, round(max(q), 6) AS favourite, round(sum(CASE WHEN rk <= 3 THEN q END), 6) AS top3_share
 FROM (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY q DESC, entity_id) AS rk FROM market) x GROUP BY contest_id""",
     "divergence_band": "SELECT contest_id, entity_id, CASE WHEN p < q - greatest(0.03, 0.5 * q) THEN 'below' WHEN p > q + greatest(0.03, 0.5 * q) THEN 'above' ELSE 'near' END AS band FROM market",

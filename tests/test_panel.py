@@ -6,13 +6,16 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from furlong import registry
 from furlong.operators import asof
+from furlong.plans import markets
 from furlong.sources import loads
+from furlong.sources.panel import with_parts
 from furlong.streaming import quotes
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +94,28 @@ def test_exacta_of_three(spark):
     both = df.alias("a").join(df.alias("b"), F.expr("a.e <> b.e")).selectExpr("a.e || b.e AS k", "a.p * b.p / (1 - a.p) AS x")
     got = {r.k: r.x for r in both.collect()}
     assert math.isclose(got["AB"], 0.3) and math.isclose(got["BA"], 3 / 14) and math.isclose(got["CB"], 0.075)
+
+
+def test_bootstrap_resamples_days(spark, duck):
+    n = 1084
+    duck.sql(f"CREATE OR REPLACE TEMP TABLE i AS SELECT range AS k, {n} AS days FROM range({n})")
+    w = duck.sql(markets.draws(200)).df()
+    times = w.groupby(["rep", "pick"]).size()
+    assert (w.groupby("rep").size() == n).all() and w.rep.nunique() == 200 and w.pick.between(0, n - 1).all()
+    seen = times.groupby("rep").size() / n  # a resample misses 1/e of the days
+    assert abs(seen.mean() - (1 - 1 / math.e)) < 0.005 and seen.std() < 0.02 and times.groupby("rep").max().min() >= 3
+    total = np.bincount(w.pick, minlength=n)  # Poisson(200) for each day
+    assert 0.8 < total.var() / total.mean() < 1.25
+    alike = np.corrcoef(times.unstack(fill_value=0).to_numpy()) - np.eye(200)  # between replicates
+    assert np.abs(alike).max() < 0.2 and abs(alike.mean()) < 0.002
+
+
+def test_bootstrap_interval(spark, duck):
+    name = "day_cluster_bootstrap_ci"
+    (got,) = registry.queries()[name](spark, SF).collect()
+    assert canon(spark.createDataFrame([got]).toPandas()) == canon(duck.sql(registry.oracle_sql()[name]).df())
+    d = duck.sql(with_parts("SELECT day, sum(p - won) AS s, count(*) AS n FROM market GROUP BY day")).df()
+    pick = np.random.default_rng(1).integers(0, len(d), (2000, len(d)))
+    low, high = np.percentile(d.s.to_numpy()[pick].sum(axis=1) / d.n.to_numpy()[pick].sum(axis=1), [2.5, 97.5])
+    assert (got.days, got.reps) == (len(d), 2000) and got.ci_low < got.mean_diff < got.ci_high
+    assert abs(got.ci_low - low) < 0.1 * (high - low) and abs(got.ci_high - high) < 0.1 * (high - low)
