@@ -20,16 +20,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.apply_quality_rules(docs, rules).filter("kept").select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, fixed by being written: ids may be null or repeat."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_number")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row, the first of the smallest id (a null before all others), of each group of near duplicates."""
+    docs = numbered(docs)
+    kept = minhash.near_duplicates(docs, row_col="row_number").filter("kept").select("row_number")
+    return docs.join(kept, "row_number", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
-    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that hold no test item."""
+    docs = numbered(docs)
+    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col="row_number").select(F.col("doc_id").alias("row_number")).distinct()
+    return docs.join(leaks, "row_number", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

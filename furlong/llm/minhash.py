@@ -24,11 +24,19 @@ FACTOR = _random.integers(1, 2**63, N, dtype=np.uint64) * np.uint64(2) + np.uint
 SHIFT = _random.integers(1, 2**63, N, dtype=np.uint64)
 
 
-def sketch(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each set: sum and mixed sum (its identity), band keys, and the packed low bits of its minima."""
+def identity(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets that are not empty, and two mixed sums of each set (zeros of an empty one): with its size, its identity."""
     full = np.flatnonzero(at[:-1] < at[1:])
+    sums = np.zeros((2, len(at) - 1), np.uint64)
+    if len(full):
+        sums[:, full] = [np.add.reduceat(mix(h, s), at[:-1][full]) for s in (21, 22)]
+    return full, sums
+
+
+def sketch(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The sets' identities, and of each that is not empty: band keys, and the packed low bits of its minima."""
+    full, sums = identity(h, at)
     start = at[:-1][full]
-    one, two = (np.add.reduceat(mix(h, s), start) for s in (21, 22))
     low = np.empty((len(full), N), np.uint64)
     for j in range(N):
         low[:, j] = np.minimum.reduceat(h * FACTOR[j] + SHIFT[j], start)
@@ -38,7 +46,7 @@ def sketch(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     key = mix(key + np.arange(BANDS, dtype=np.uint64), 24)
     bit = (mix(low, 25) & np.uint64(3)).astype(np.uint8)
     packed = bit[:, 0::4] | bit[:, 1::4] << 2 | bit[:, 2::4] << 4 | bit[:, 3::4] << 6
-    return full, one, two, key, packed
+    return sums, key, packed
 
 
 #: Equal 2-bit values in a byte, by the exclusive or of two packed bytes.
@@ -141,16 +149,18 @@ def tile_links(rest: list, every: list, threshold: float) -> tuple[list[int], li
 
 
 def near_duplicates(
-    docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): groups of documents linked by a similarity of at least ``threshold``.
 
     A document's set has its distinct k-word shingles (A-Z in lower case; of fewer words, the whole sequence). Documents
-    without words are linked with nothing. component_id is the smallest id that links reach; kept tells whether it is
-    the document's own. A null id gives a null id, counts as smaller than all others, and is kept if its group has no
-    other row. Rows that repeat an id are equal in rank. An empty table gives no rows; other columns are ignored.
+    without words are linked with nothing. component_id is the smallest id that links reach, where a null id gives a null
+    id and counts as smaller than all others; kept holds for one row of each group, the first of that id. Rows are told
+    apart by ``row_col``, a column of distinct numbers that the result then has too; without it by numbers of their own.
+    Rows that repeat an id stand in the order of their texts' hashes, then of those numbers. An empty table gives no rows;
+    other columns are ignored.
 
-    Documents with equal sets become one class, represented by its smallest id. Classes that share a band key are
+    Documents with equal sets become one class, a node numbered in the order of the classes' first rows. Classes that share a band key are
     candidates if their packed signatures' estimate comes within SLACK of the threshold. Each bucket gives pairs that
     span its candidates, from its centre where it can, so a large group of near copies costs one pair a member. These are
     confirmed on the whole sets. A family (what candidates connect) whose links leave several components is compared
@@ -158,27 +168,31 @@ def near_duplicates(
     side, so that no link between components is lost and no pair becomes a row."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    smallest = -(2**63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(smallest)).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), *([F.col(row_col).cast("long").alias("row")] if row_col else [])
+    ).withColumn("th", F.xxhash64("t"))
+    given = ["row"] if row_col else []
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for lo, hi, data, offs in text_slices(b.column(1)):
+            for lo, hi, data, offs in text_slices(b.column("t")):
                 h, at = shingle_sets(*word_hashes(data, offs, lower=True), k)
                 n = np.diff(at)
-                full, one, two, key, sig = sketch(h, at)
-                s = np.zeros((2, hi - lo), np.uint64)
-                s[:, full] = one, two
+                s, key, sig = sketch(h, at)
                 at_band = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 at_sig = np.concatenate([[0], np.cumsum(n > 0)])
                 bands = pa.ListArray.from_arrays(pa.array(at_band), pa.array(signed(key.ravel())))
-                cols = [pa.array(ids[lo:hi]), pa.array(n), pa.array(signed(s[0])), pa.array(signed(s[1])), bands, blobs(sig, at_sig)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "bands", "sig"])
-
-    sk = materialize(rows.mapInArrow(sketches, "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary"))
-    classes = sk.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min_by(F.struct("doc_id", "bands", "sig"), "doc_id").alias("r"))
-    classes = materialize(classes.select("n", "s1", "s2", F.col("r.doc_id").alias("rep"), "r.bands", "r.sig"))
+                cols = [b.column(c).slice(lo, hi - lo) for c in ["doc_id", "th", *given]]
+                cols += [pa.array(n), pa.array(signed(s[0])), pa.array(signed(s[1])), bands, blobs(sig, at_sig)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", *given, "n", "s1", "s2", "bands", "sig"])
+
+    sk = rows.select("doc_id", "th", *given, "t").mapInArrow(sketches, f"doc_id long, th long,{' row long,' * len(given)} n long, s1 long, s2 long, bands array<long>, sig binary")
+    # numbers of rows and nodes are fixed by being written
+    sk = materialize(sk if given else sk.withColumn("row", F.monotonically_increasing_id()))
+    first_row = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "row")
+    classes = sk.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min_by(F.struct(first_row.alias("first"), "bands", "sig"), first_row).alias("r"))
+    classes = classes.select("n", "s1", "s2", "r.first", "r.bands", "r.sig").repartitionByRange(parts, "first").sortWithinPartitions("first")
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()))
     floor = max(0.0, threshold - SLACK)
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,15 +212,22 @@ def near_duplicates(
     pairs = materialize(buckets.mapInArrow(stars, "a long, b long").distinct())
 
     def sets_of(pairs: DataFrame, n: int) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        """The sets of the nodes of ``pairs``, from the rows that have their first rows' ids and texts' hashes; which node
+        a row's set belongs to is then found by its identity."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        wanted = materialize(classes.join(broadcast_if(ids, 32 * n), "rep", "left_semi").select("n", "s1", "s2", "rep", F.col("first.doc_id").alias("i"), F.col("first.th").alias("h")))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for lo, hi, data, offs in text_slices(b.column(1)):
+                for _, _, data, offs in text_slices(b.column(0)):
                     h, at = shingle_sets(*word_hashes(data, offs, lower=True), k)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), blobs(h, at)], ["doc_id", "shingles"])
+                    _, s = identity(h, at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.diff(at)), pa.array(signed(s[0])), pa.array(signed(s[1])), blobs(h, at)], ["n", "s1", "s2", "shingles"])
 
-        return materialize(rows.join(broadcast_if(ids, 32 * n), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+        some = rows.join(broadcast_if(wanted.select("i", "h"), 64 * n), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")), "left_semi")
+        found = some.select("t").mapInArrow(sets, "n long, s1 long, s2 long, shingles binary")
+        named = found.join(broadcast_if(wanted.select("n", "s1", "s2", "rep"), 96 * n), ["n", "s1", "s2"])
+        return materialize(named.select(F.col("rep").alias("doc_id"), "shingles").dropDuplicates(["doc_id"]))
 
     own = sets_of(pairs, pairs.count())
 
@@ -254,8 +275,12 @@ def near_duplicates(
         more = tiles.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
         component = materialize(connected_components(links.unionByName(materialize(more))))
 
-    member = sk.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
-    out = member.join(component, member.rep == component.node, "left")
-    label = F.coalesce("component", "rep", "doc_id")
-    null = lambda c: F.when(c != smallest, c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(label).alias("component_id"), (label == F.col("doc_id")).alias("kept"))
+    # each class of several with its component's first row; the others are their own
+    head = classes.select(F.col("rep").alias("component"), F.col("first").alias("head"))
+    named = component.join(head, "component").select("node", "head")
+    labelled = classes.select("n", "s1", "s2", "rep", "first").join(named, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("head", "first").alias("head"))
+    out = sk.select("doc_id", "row", "n", "s1", "s2").join(labelled, ["n", "s1", "s2"], "left")
+    linked = F.col("head").isNotNull()
+    label = F.when(linked, F.col("head.doc_id")).otherwise(F.col("doc_id"))
+    kept = F.when(linked, F.col("head.row") == F.col("row")).otherwise(True)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), kept.alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))

@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -208,3 +209,23 @@ def test_leaks(spark, docs, none):
     sh = lambda t: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) if (w := words((t or "").lower())) is not None else set()
     want = {(i, j) for i, t in enumerate(TEXTS) for j, b in ((1, item), (4, "x")) if sh(b) and len(sh(t) & sh(b)) >= 0.8 * len(sh(b))}
     assert got == want and decontam.find_leaks(none, bench).count() == 0 and decontam.find_leaks(docs, bench.filter("item_id > 9")).count() == 0
+
+
+def test_stages_tell_rows_apart(spark, tmp_path):
+    """Null and repeated ids: near copies go, and so do leaks, row by row."""
+    a, b, c, d, item = prose(150), prose(150), prose(150), prose(150), prose(30)
+    near, leak = (lambda t: t + " tail"), prose(50) + " " + item
+    rows = [(None, a), (None, b), (5, near(a)), (7, c), (7, c), (7, d), (8, near(d)), (9, near(b)), (9, leak), (None, leak), (None, ""), (11, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=key)
+    want = [(None, a), (None, b), (7, c), (7, d), (None, leak), (None, ""), (11, None)]
+    assert pairs(corpus_pipeline.near_dedup(spark, docs, str(tmp_path))) == sorted(want, key=key)
+    clean = [r for r in rows if r[1] != leak]
+    assert pairs(corpus_pipeline.decontaminate(spark, docs, str(tmp_path))) == sorted(clean, key=key)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()), key=str)
+    ids = [None, None, None, 7, 7, 7, 7, None, None, None, None, 11]
+    keep = collections.Counter(r[2] for r in got)
+    assert keep == {True: 7, False: 5}
+    assert sorted((r[:2] for r in got), key=str) == sorted(zip((r[0] for r in rows), ids, strict=True), key=str)
