@@ -59,16 +59,47 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (share - 0.5**BITS) / (1 - 0.5**BITS)
 
 
+def values(sig: np.ndarray) -> np.ndarray:
+    """The N values of each packed signature."""
+    return ((sig[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).reshape(len(sig), -1)
+
+
+def votes(sig: np.ndarray) -> np.ndarray:
+    """How many signatures have each value, for each position."""
+    v = values(sig)
+    return np.stack([(v == x).sum(axis=0) for x in range(4)])
+
+
+def consensus(count: np.ndarray) -> np.ndarray:
+    """The packed signature of each position's most frequent value: near copies have their common origin there."""
+    v = count.argmax(axis=0).astype(np.uint8)
+    return v[0::4] | v[1::4] << 2 | v[2::4] << 4 | v[3::4] << 6
+
+
 def centre(sig: np.ndarray) -> int:
-    """The signature that agrees most with all of a bucket: near copies have their common origin there."""
-    bits = (sig[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3
-    bits = bits.reshape(len(sig), -1)
-    votes = np.stack([(bits == v).sum(axis=0) for v in range(4)])
-    return int(votes[bits, np.arange(bits.shape[1])].sum(axis=1).argmax())
+    """The signature that agrees most with all of a bucket."""
+    count, v = votes(sig), values(sig)
+    return int(count[v, np.arange(v.shape[1])].sum(axis=1).argmax())
 
 
-#: Classes of one tile's side.
-TILE = 256
+#: Classes of one tile's side, of whole sets and of signatures. A bucket of more than BLOCK classes is dealt out.
+TILE, BLOCK = 256, 2048
+
+
+def linking(rest: np.ndarray, rest_ids: np.ndarray, every: np.ndarray, ids: np.ndarray, label: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``rest`` and ``every`` whose estimates reach ``floor``, enough of them to join all labels that any do;
+    ``label`` (of ``every``) names what is joined already, and a member of ``rest`` has its id as label."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    label = np.concatenate([label, rest_ids])
+    for r in range(len(rest)):
+        hit = np.flatnonzero(estimate(every, rest[r]) >= floor)
+        own = label[len(ids) + r]
+        names, at = np.unique(label[hit], return_index=True)
+        other = names != own
+        a.append(np.full(other.sum(), rest_ids[r]))
+        b.append(ids[hit[at[other]]])
+        label[np.isin(label, names[other])] = own
+    return np.concatenate(a), np.concatenate(b)
 
 
 def spanning(own: np.ndarray, ids: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -77,16 +108,80 @@ def spanning(own: np.ndarray, ids: np.ndarray, floor: float) -> tuple[np.ndarray
     c = centre(own)
     near = estimate(own, own[c]) >= floor
     near[c] = True
-    a, b = [np.full(near.sum() - 1, ids[c])], [ids[near & (np.arange(len(ids)) != c)]]
-    label = np.where(near, c, np.arange(len(ids)))
-    for r in np.flatnonzero(~near):
-        hit = np.flatnonzero(estimate(own, own[r]) >= floor)
-        names, at = np.unique(label[hit], return_index=True)
-        other = names != label[r]
-        a.append(np.full(other.sum(), ids[r]))
-        b.append(ids[hit[at[other]]])
-        label[np.isin(label, names[other])] = label[r]
-    return np.concatenate(a), np.concatenate(b)
+    a, b = linking(own[~near], ids[~near], own, ids, np.where(near, ids[c], ids), floor)
+    star = ids[near & (np.arange(len(ids)) != c)]
+    return np.concatenate([np.full(len(star), ids[c]), a]), np.concatenate([star, b])
+
+
+def signatures(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), N * BITS // 8)
+
+
+def dealt_pairs(rows: DataFrame, floor: float, block: int) -> DataFrame:
+    """What ``spanning`` gives, (a, b), for buckets of any size: ``rows`` (key, rep, sig) are never gathered by key.
+
+    Tasks count votes over what they hold, and the sums give each key's consensus; the member next to it is the centre,
+    found in the same two steps. Each row is then compared with its key's centre alone. What no centre takes is compared
+    with all rows of its key, in tiles of about ``block`` rows a side."""
+
+    def by_key(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        key = b.column("key").to_numpy()
+        order = np.argsort(key, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            yield int(key[own[0]]), own
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sig = signatures(b.column("sig"))
+                out = [(key, votes(sig[own]).ravel().tolist()) for key, own in by_key(b)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["key", "votes"])
+
+    def total(t: pa.Table) -> pa.Table:
+        sums = sum(np.array(v, np.int64) for v in t.column("votes").to_pylist())
+        return pa.table({"key": t.column("key").slice(0, 1), "middle": pa.array([consensus(sums.reshape(4, N)).tobytes()], pa.binary())})
+
+    middles = materialize(rows.mapInArrow(count, "key long, votes array<long>").groupBy("key").applyInArrow(total, "key long, middle binary"))
+    n = middles.count()
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                score = EQUAL[signatures(b.column("sig")) ^ signatures(b.column("middle"))].sum(axis=1).astype(np.int64)
+                best = pa.array([int(own[score[own].argmax()]) for _, own in by_key(b)])
+                yield pa.RecordBatch.from_arrays([b.column("key").take(best), pa.array(score).take(best), b.column("rep").take(best), b.column("sig").take(best)], ["key", "score", "rep", "sig"])
+
+    best = rows.join(broadcast_if(middles, 64 * n), "key").select("key", "rep", "sig", "middle").mapInArrow(nearest, "key long, score long, rep long, sig binary")
+    hubs = materialize(best.groupBy("key").agg(F.max(F.struct("score", "rep", "sig")).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.sig").alias("hub_sig")))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ok = estimate(signatures(b.column("sig")), signatures(b.column("hub_sig"))) >= floor
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "rep", "sig", "hub")), pa.array(ok)], ["key", "rep", "sig", "hub", "near"])
+
+    told = rows.join(broadcast_if(hubs, 64 * n), "key").select("key", "rep", "sig", "hub", "hub_sig")
+    told = materialize(told.mapInArrow(near, "key long, rep long, sig binary, hub long, near boolean"))
+    star = told.filter("near and hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    sizes = materialize(told.groupBy("key").agg(F.count("*").alias("size"), F.count(F.when(~F.col("near"), 1)).alias("rest_n")).filter("rest_n > 0"))
+    m = sizes.count()
+    if not m:
+        return star
+    chunks = lambda c: F.ceil(F.col(c) / block).cast("long")
+    data = told.join(broadcast_if(sizes, 48 * m), "key").withColumn("label", F.when(F.col("near"), F.col("hub")).otherwise(F.col("rep")))
+    spread = lambda c: F.pmod(F.xxhash64("rep"), chunks(c))
+    rest = data.filter("not near").withColumn("i", spread("rest_n")).withColumn("j", F.explode(F.sequence(F.lit(0), chunks("size") - 1)))
+    every = data.withColumn("j", spread("size")).withColumn("i", F.explode(F.sequence(F.lit(0), chunks("rest_n") - 1)))
+    cols = ["key", "i", "j", "rep", "label", "sig"]
+    tiles = rest.select(*cols, F.lit(True).alias("is_rest")).unionByName(every.select(*cols, F.lit(False).alias("is_rest")))
+
+    def compare(tile: pa.Table) -> pa.Table:
+        side = np.array(tile.column("is_rest").to_pylist(), bool)
+        sig, ids, label = signatures(tile.column("sig")), tile.column("rep").to_numpy(), tile.column("label").to_numpy()
+        a, b = linking(sig[side], ids[side], sig[~side], ids[~side], label[~side], floor)
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return star.unionByName(tiles.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
@@ -96,7 +191,7 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[lis
     def column(b: pa.RecordBatch, c: str) -> np.ndarray:
         x = b.column(c)
         if pa.types.is_binary(x.type):
-            return np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), N * BITS // 8)
+            return signatures(x)
         return x.to_numpy(zero_copy_only=False)
 
     for b in batches:
@@ -149,7 +244,7 @@ def tile_links(rest: list, every: list, threshold: float) -> tuple[list[int], li
 
 
 def near_duplicates(
-    docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
+    docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): groups of documents linked by a similarity of at least ``threshold``.
 
@@ -162,7 +257,8 @@ def near_duplicates(
 
     Documents with equal sets become one class, a node numbered in the order of the classes' first rows. Classes that share a band key are
     candidates if their packed signatures' estimate comes within SLACK of the threshold. Each bucket gives pairs that
-    span its candidates, from its centre where it can, so a large group of near copies costs one pair a member. These are
+    span its candidates, from its centre where it can, so a large group of near copies costs one pair a member; buckets of
+    more than ``block`` classes are spread over the tasks. These are
     confirmed on the whole sets. A family (what candidates connect) whose links leave several components is compared
     again, all members outside its largest component with all its members, in tiles of at most about TILE classes a
     side, so that no link between components is lost and no pair becomes a row."""
@@ -208,8 +304,15 @@ def near_duplicates(
                 if len(a):
                     yield _edges(a, b)
 
-    buckets = classes.select(F.explode("bands").alias("key"), "rep", "sig").repartition(parts, "key").sortWithinPartitions("key", "rep")
-    pairs = materialize(buckets.mapInArrow(stars, "a long, b long").distinct())
+    # small buckets go to one task whole; large ones, which are few, are dealt out
+    large = materialize(classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > block).select("key"))
+    n_large = large.count()
+    held = classes.select(F.explode("bands").alias("key"), "rep", "sig")
+    buckets = held.join(broadcast_if(large, 16 * n_large), "key", "left_anti") if n_large else held
+    found = buckets.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(stars, "a long, b long")
+    if n_large:
+        found = found.unionByName(dealt_pairs(materialize(held.join(broadcast_if(large, 16 * n_large), "key", "left_semi")), floor, block))
+    pairs = materialize(found.distinct())
 
     def sets_of(pairs: DataFrame, n: int) -> DataFrame:
         """The sets of the nodes of ``pairs``, from the rows that have their first rows' ids and texts' hashes; which node

@@ -229,3 +229,51 @@ def test_stages_tell_rows_apart(spark, tmp_path):
     keep = collections.Counter(r[2] for r in got)
     assert keep == {True: 7, False: 5}
     assert sorted((r[:2] for r in got), key=str) == sorted(zip((r[0] for r in rows), ids, strict=True), key=str)
+
+
+def test_large_buckets_are_dealt_out(spark):
+    """No task gets a whole bucket, and the groups are those of the whole buckets."""
+    n, rows = minhash.N, []
+    for key, size in ((1, 300), (2, 90)):
+        origin = rng.integers(0, 4, n)
+        for _ in range(size):
+            v = np.where(rng.random(n) < rng.choice([0.05, 0.5]), rng.integers(0, 4, n), origin).astype(np.uint8)
+            rows.append((key, len(rows), bytearray((v[0::4] | v[1::4] << 2 | v[2::4] << 4 | v[3::4] << 6).tobytes())))
+    df = spark.createDataFrame(rows, "key long, rep long, sig binary").repartition(5)
+    floor, want = 0.55, {}
+    for key in (1, 2):
+        ids = np.array([r[1] for r in rows if r[0] == key])
+        sig = np.stack([np.frombuffer(bytes(r[2]), np.uint8) for r in rows if r[0] == key])
+        for x, y in zip(*np.nonzero([minhash.estimate(sig, s) >= floor for s in sig]), strict=True):
+            want.setdefault(int(ids[x]), set()).add(int(ids[y]))
+    pairs = [(r.a, r.b) for r in minhash.dealt_pairs(df, floor, 16).collect()]
+    assert all(b in want[a] for a, b in pairs)
+
+    def group(edges):
+        root = {r[1]: r[1] for r in rows}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(x) for x in root]
+
+    assert group(pairs) == group((a, b) for a, bs in want.items() for b in bs) and len(set(group(pairs))) > 2
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """The groups of near copies do not depend on the block; no bucket of more than it is held whole."""
+    base, texts = prose(200).split(), []
+    for _ in range(40):
+        w = list(base)
+        for p in rng.choice(200, int(rng.integers(0, 12)), replace=False):
+            w[p] = f"e{rng.integers(0, 50)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    dealt = []
+    monkeypatch.setattr(minhash, "dealt_pairs", lambda rows, *a, f=minhash.dealt_pairs: (dealt.append(rows.groupBy("key").count().agg({"count": "min"}).first()[0]), f(rows, *a))[1])
+    both = [{r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(docs, k=3, threshold=0.85, block=n).collect()} for n in (4, 1000)]
+    assert both[0] == both[1] and len(dealt) == 1 and dealt[0] > 4
