@@ -29,7 +29,9 @@ class Encoder:
     """Encodes texts with the tokenizers library, each distinct space-delimited unit once.
 
     Neither vocabulary merges across a space that precedes a non-space, so the ids of a text are those of its units in
-    order. With ``keeps_space`` a text in which a space is followed by white space or nothing goes to the library whole.
+    order. A text that holds an added token's content goes to the library whole, and so does, with ``keeps_space``, one in
+    which a space is followed by white space or nothing. Where the library looks for a content in normalized text, so does
+    this class.
     The cache is emptied when it holds ``most`` units."""
 
     def __init__(self, path: str, keeps_space: bool, most: int = 1_000_000):
@@ -40,11 +42,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.lib.no_padding()
         self.lib.no_truncation()
         self.keeps_space, self.most = keeps_space, most
         self.odd = re.compile(r" (?=\s|$)").search
+        added = self.lib.get_added_tokens_decoder().values()
+        self.plain = [t.content for t in added if not t.normalized]
+        self.normal = [t.content for t in added if t.normalized]
         self.clear()
 
     def clear(self) -> None:
@@ -65,6 +69,15 @@ class Encoder:
         self.used, self.n = self.used + k, self.n + 1
         return self.n - 1
 
+    def special(self, text: str) -> bool:
+        if any(c in text for c in self.plain):
+            return True
+        if not self.normal:
+            return False
+        norm = self.lib.normalizer.normalize_str if self.lib.normalizer else str
+        text = norm(text)
+        return any(norm(c) in text for c in self.normal)
+
     def whole(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
 
@@ -95,7 +108,7 @@ class Encoder:
         whole, heads, rests = {}, [], []
         for k, t in enumerate(texts):
             head, rest = "", []
-            if t and self.keeps_space and self.odd(t):
+            if t and (self.special(t) or self.keeps_space and self.odd(t)):
                 whole[k] = self.add(self.whole(t))
             elif t:
                 head, *rest = t.split(" ")

@@ -277,3 +277,19 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "dealt_pairs", lambda rows, *a, f=minhash.dealt_pairs: (dealt.append(rows.groupBy("key").count().agg({"count": "min"}).first()[0]), f(rows, *a))[1])
     both = [{r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(docs, k=3, threshold=0.85, block=n).collect()} for n in (4, 1000)]
     assert both[0] == both[1] and len(dealt) == 1 and dealt[0] > 4
+
+
+@pytest.mark.parametrize(("path", "keeps_space"), [(BYTE, True), (WORD, False)])
+def test_texts_with_added_tokens(spark, path, keeps_space):
+    """Texts that spell an added token get the library's ids, and so do texts that only come near to one."""
+    from tokenizers import Tokenizer
+
+    texts = ["a b <|endoftext|> c", "a<|endoftext|>b", "<|startoftext|>x", " <|endoftext|>", "a <|ENDOFTEXT|> c", "<|endoftext|", "<| endoftext|>", None, "a  <|endoftext|>\n\n", "<|endoftext|>" * 3, "b c"]
+    lib, (ids, at) = Tokenizer.from_file(path), tokens.Encoder(path, keeps_space)(texts, 2)
+    want = [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    crc = {k: zlib.crc32(np.array(w, "<u4").tobytes()) for k, w in enumerate(want)}
+    got = tokens.token_planes(df, path, keeps_space=keeps_space) if keeps_space else packing.pack_sequences(df, path, size=4096).filter("length = doc_tokens")
+    got = {r.doc_id: r.ids_crc32 for r in got.collect()}
+    assert got and got.items() <= crc.items() and (len(got) == len(texts) or not keeps_space)
