@@ -9,63 +9,106 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .tokens import END_ID, crc32, encoder, text_lists
+from .tokens import END_ID, crc32, encoded, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class SumOfSquares:
-    """Windows of ``size`` tokens. ``level[h]`` counts the open windows filled to h; an item of s tokens goes where the
-    sum of level[h]**2 over 0 < h < size grows least (the fullest of equals). A window that is full leaves."""
-
-    def __init__(self, size: int, most_open: int = 2048):
-        self.size, self.most_open = size, most_open
-        self.level = np.zeros(size + 1, np.int64)
-        self.open: dict[int, list[list]] = {}
-        self.n_open = 0
-
-    def place(self, item: tuple) -> list[tuple] | None:
-        """item: (length, ...). The items of the window that this one fills, if it does."""
-        s = item[0]
-        if s == self.size:
-            return [item]
-        now = self.level[: self.size - s + 1].copy()  # fills that leave room; 0 is a new window
-        after = self.level[s:].copy()
-        after[-1] = 0
-        cost = 2 * after + 1 - (2 * now - 1)
-        cost[-1] -= 1  # filling a window adds none
-        cost[0] = 2 * after[0] + 1
-        cost[1:][now[1:] == 0] = np.iinfo(np.int64).max
-        h = len(cost) - 1 - int(np.argmin(cost[::-1]))
-        if h:
-            window = self.open[h].pop()
-            self.level[h] -= 1
-            self.n_open -= 1
-        else:
-            window = []
-        window.append(item)
-        if h + s == self.size:
-            return window
-        self.open.setdefault(h + s, []).append(window)
-        self.level[h + s] += 1
-        self.n_open += 1
-        return None
+    """Windows of ``size`` tokens in ``levels`` equal steps of fill. ``count[l]`` is the number of open windows at level l;
+    an item goes where the sum of count[l]**2 grows least (the fullest of equals). Items are (length, doc_id, start, ids,
+    total).
+
+    A window whose room is less than a step leaves the levels and is topped up by the front of the items that come next.
+    An item may also be cut to fill a window that has less room than it needs, which counts as ``cut_cost`` more; so a
+    level holds no more than about cut_cost / 2 windows, and memory is bounded by the level array whatever comes."""
+
+    def __init__(self, size: int, levels: int = 50, cut_cost: int = 8):
+        self.size, self.levels, self.cut_cost = size, levels, cut_cost
+        self.count = np.zeros(levels, np.int64)
+        self.open: list[list[tuple[int, list]]] = [[] for _ in range(levels)]  # (fill, items) by level, the last is in turn
+        self.fill = np.zeros(levels, np.int64)  # of the window in turn
+        self.nearly: list | None = None
+        self.room = 0
+
+    def level(self, fill: np.ndarray | int) -> np.ndarray | int:
+        return fill * self.levels // self.size
+
+    def take(self, at: int) -> list:
+        """The window in turn at a level; level 0 may have none, which is a new window."""
+        if not self.open[at]:
+            return []
+        _, window = self.open[at].pop()
+        self.count[at] -= 1
+        self.fill[at] = self.open[at][-1][0] if self.open[at] else 0
+        return window
+
+    def put(self, window: list, fill: int) -> list[list]:
+        """Put back a window; it is full, nearly full, or open at its level."""
+        if fill == self.size:
+            return [window]
+        if self.nearly is None and self.level(fill) == self.levels - 1:
+            self.nearly, self.room = window, self.size - fill
+            return []
+        at = self.level(fill)
+        self.open[at].append((fill, window))
+        self.count[at] += 1
+        self.fill[at] = fill
+        return []
+
+    def place(self, item: tuple) -> list[list[tuple]]:
+        """The windows that this item fills."""
+        out = []
+        while item[0]:
+            if item[0] >= self.size:
+                part, item = cut(item, self.size)
+                out.append([part])
+            elif self.nearly is not None:
+                part, item = cut(item, min(item[0], self.room))
+                self.nearly.append(part)
+                self.room -= part[0]
+                if not self.room:
+                    out.append(self.nearly)
+                    self.nearly = None
+            else:
+                at, n = self.choose(item[0])
+                part, item = cut(item, n)
+                fill = n + int(self.fill[at]) if at >= 0 else n
+                window = self.take(at) if at >= 0 else []
+                window.append(part)
+                out += self.put(window, fill)
+        return out
+
+    def choose(self, n: int) -> tuple[int, int]:
+        """The level (-1: a new window) where n tokens, or the first of them, go."""
+        grown = lambda to: np.where(to >= self.levels - 1, 0, 2 * self.count[np.minimum(to, self.levels - 1)] + 1)
+        held = self.count > 0
+        to = self.level(self.fill + n)
+        gone = 2 * self.count - 1
+        cost = np.where(to == np.arange(self.levels), 0, grown(to) - gone)
+        room = self.size - self.fill
+        never = np.iinfo(np.int64).max
+        whole = np.append(int(grown(self.level(np.int64(n)))), np.where(held & (room >= n), cost, never))
+        part = np.where(held & (room < n), self.cut_cost - gone, never)
+        k, j = len(whole) - 1 - int(np.argmin(whole[::-1])), int(np.argmin(part))
+        return (j, int(room[j])) if part[j] < whole[k] else (k - 1, n)
 
     def drain(self) -> list[list[tuple]]:
-        """All open windows, fullest first; none stay open."""
-        out = [w for h in sorted(self.open, reverse=True) for w in self.open[h]]
-        self.open, self.n_open = {}, 0
-        self.level[:] = 0
+        """All windows that are not full, fullest first; none stay open."""
+        rest = sorted((x for level in self.open for x in level), key=lambda x: -x[0])
+        out = [self.nearly] * (self.nearly is not None) + [w for _, w in rest]
+        self.__init__(self.size, self.levels, self.cut_cost)
         return out
 
 
-def close_up(windows: list[list[tuple]], size: int) -> list[list[tuple]]:
-    """Windows without padding from part-filled ones: the emptiest give what the fullest lack, cut where needed, and
-    the last remainder becomes windows whose lengths are powers of two. Items are (length, doc_id, start, ids, total)."""
+def cut(x: tuple, n: int) -> tuple[tuple, tuple]:
+    """The first n tokens of an item, and the rest."""
+    return (n, x[1], x[2], x[3][:n], x[4]), (x[0] - n, x[1], x[2] + n, x[3][n:], x[4])
 
-    def cut(x: tuple, n: int) -> tuple[tuple, tuple]:
-        return (n, x[1], x[2], x[3][:n], x[4]), (x[0] - n, x[1], x[2] + n, x[3][n:], x[4])
 
+def close_up(windows: list[list[tuple]], size: int) -> list[list[tuple]]:
+    """Windows without padding from part-filled ones: the emptiest give what the fullest lack, cut where needed, and
+    the last remainder becomes windows whose lengths are powers of two."""
     out, lo, hi = [], 0, len(windows) - 1
     while lo < hi:
         room = size - sum(x[0] for x in windows[lo])
@@ -99,19 +142,20 @@ def close_up(windows: list[list[tuple]], size: int) -> list[list[tuple]]:
 
 def pack_sequences(
     docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end: int = END_ID,
-    keeps_space: bool = False, most_open: int = 2048, with_ids: bool = False,
+    keeps_space: bool = False, with_ids: bool = False,
 ) -> DataFrame:
     """Pack every document into sequences of at most ``size`` tokens; each row is a piece of a document.
 
-    A document is cut at multiples of ``size`` only, and its pieces are placed online by sum of squares within each
-    input partition, so nothing is shuffled and a task holds at most ``most_open`` open windows. When a partition ends
-    (or has more open windows), the part-filled windows close up; the last is cut into lengths that are powers of two,
-    so no sequence needs padding. Sequence ids are unique over partitions and a rerun task gives the same ones.
+    Pieces are placed online by sum of squares within each input partition, so nothing is shuffled; see ``SumOfSquares``
+    for when a document is cut. When a partition ends, its part-filled windows (a few dozen, however many rows it has)
+    close up; the last is cut into lengths that are powers of two, so
+    no sequence needs padding. Sequence ids are unique over partitions and a rerun task gives the same ones. A long text
+    is encoded in parts.
     A null or empty text is the end id alone; rows that repeat an id are packed each; an empty table gives no rows."""
     schema = PIECES + ", ids array<long>" * with_ids
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = encoder(tokenizer, keeps_space), SumOfSquares(size, most_open)
+        coder, packer = encoder(tokenizer, keeps_space), SumOfSquares(size)
         next_id = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
 
@@ -132,17 +176,11 @@ def pack_sequences(
 
         for b in batches:
             keys = b.column(0).to_pylist()
-            for lo, texts in text_lists(b.column(1)):
-                ids, at = coder(texts, end)
-                for j in range(len(texts)):
+            for lo, ids, at in encoded(coder, b.column(1), end):
+                for j in range(len(at) - 1):
                     total = int(at[j + 1] - at[j])
-                    for start in range(0, total, size):
-                        part = ids[at[j] + start : min(at[j] + start + size, at[j + 1])].copy()
-                        if full := packer.place((len(part), keys[lo + j], start, part, total)):
-                            emit(full)
-                    if packer.n_open > packer.most_open:
-                        for w in close_up(packer.drain(), size):
-                            emit(w)
+                    for full in packer.place((total, keys[lo + j], 0, ids[at[j] : at[j + 1]].copy(), total)):
+                        emit(full)
                 if len(rows) > 2000:
                     yield batch()
         for w in close_up(packer.drain(), size):

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -25,18 +26,27 @@ MAGIC = b"FPS1"
 END_ID = 2
 
 
+#: What the library's patterns may see as white space, a superset in RE2's notation.
+BLANK = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+#: A letter before a mark or digit ends a match of either vocabulary's pattern.
+MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
+#: Marks a cut; a text that has it already goes to the library whole.
+CUT = "\x00"
+
+
 class Encoder:
-    """Encodes texts with the tokenizers library, each distinct space-delimited unit once.
+    """Encodes texts with the tokenizers library, each distinct piece of them once.
 
-    Neither vocabulary merges across a space that precedes a non-space, so the ids of a text are those of its units in
-    order. A text that holds an added token's content goes to the library whole, and so does, with ``keeps_space``, one in
-    which a space is followed by white space or nothing. Where the library looks for a content in normalized text, so does
-    this class.
-    The cache is emptied when it holds ``most`` units."""
+    With ``keeps_space`` (byte-level vocabularies) a text is cut before each space or line end that a non-space follows,
+    and between a letter and a mark: the vocabulary's pattern never matches across such a place, and white space before it
+    is matched as it is at a text's end, so the ids of a text are those of its pieces in order. Without it (white space is dropped) texts are cut
+    at white space. Arrow finds the distinct pieces of a batch; the new ones are encoded as one text, and the lengths of
+    the ids' tokens tell whose they are. A text that holds an added token's content goes to the library whole; where the
+    library looks for a content in normalized text, so does this class. The cache is emptied when it holds ``most``
+    pieces."""
 
     def __init__(self, path: str, keeps_space: bool, most: int = 1_000_000):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
@@ -45,96 +55,149 @@ class Encoder:
         self.lib.no_padding()
         self.lib.no_truncation()
         self.keeps_space, self.most = keeps_space, most
-        self.odd = re.compile(r" (?=\s|$)").search
         added = self.lib.get_added_tokens_decoder().values()
         self.plain = [t.content for t in added if not t.normalized]
         self.normal = [t.content for t in added if t.normalized]
+        suffix = getattr(self.lib.model, "end_of_word_suffix", None) or ""
+        vocab = self.lib.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each id
+        for token, i in vocab.items():
+            self.width[i] = len(token.removesuffix(suffix))
         self.clear()
 
     def clear(self) -> None:
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {} if self.keeps_space else self.first
+        self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.off, self.n = np.zeros(1 << 16, np.int64), 0
         self.cnt = np.zeros(1 << 16, np.int64)
 
-    def add(self, ids: list[int]) -> int:
-        k = len(ids)
-        while self.used + k > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if self.n == len(self.off):
-            self.off, self.cnt = (np.concatenate([a, np.zeros_like(a)]) for a in (self.off, self.cnt))
-        self.flat[self.used : self.used + k] = ids
-        self.off[self.n], self.cnt[self.n] = self.used, k
-        self.used, self.n = self.used + k, self.n + 1
-        return self.n - 1
-
-    def special(self, text: str) -> bool:
-        if any(c in text for c in self.plain):
-            return True
-        if not self.normal:
-            return False
-        norm = self.lib.normalizer.normalize_str if self.lib.normalizer else str
-        text = norm(text)
-        return any(norm(c) in text for c in self.normal)
-
-    def whole(self, text: str) -> list[int]:
-        return self.lib.encode(text, add_special_tokens=False).ids
-
-    def learn(self, known: dict[str, int], pieces: Iterable[str]) -> None:
-        """Units that follow a space: the new ones are encoded as one text, and each id is its unit's by its offset."""
-        new = list(set(pieces).difference(known))
-        if not new:
-            return
-        got = self.lib.encode(" " + " ".join(new), add_special_tokens=False)
-        start = np.cumsum(np.fromiter(map(len, new), np.int64) + 1)
-        place = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
-        count = np.bincount(np.searchsorted(start, place, "right"), minlength=len(new))
-        k, n = len(got.ids), len(new)
+    def add(self, ids: np.ndarray, count: np.ndarray) -> int:
+        """Store the ids of ``len(count)`` pieces; the number of the first."""
+        k, n, first = len(ids), len(count), self.n
         while self.used + k > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + n > len(self.off):
             self.off, self.cnt = (np.concatenate([a, np.zeros_like(a)]) for a in (self.off, self.cnt))
-        self.flat[self.used : self.used + k] = got.ids
-        self.off[self.n : self.n + n] = self.used + np.cumsum(count) - count
-        self.cnt[self.n : self.n + n] = count
-        known.update(zip(new, range(self.n, self.n + n), strict=True))
-        self.used, self.n = self.used + k, self.n + n
-
-    def __call__(self, texts: list[str | None], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each followed by ``end``, and each text's range in them."""
+        self.flat[self.used : self.used + k] = ids
+        self.off[first : first + n] = self.used + np.cumsum(count) - count
+        self.cnt[first : first + n] = count
+        self.used, self.n = self.used + k, first + n
+        return first
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def special(self, texts: pa.Array) -> np.ndarray:
+        """Rows that the library must see whole."""
+        out = np.zeros(len(texts), bool)
+        for c in [*self.plain, *[CUT] * self.keeps_space]:
+            out |= pc.match_substring(texts, c).to_numpy(zero_copy_only=False)
+        if self.normal:
+            norm = self.lib.normalizer.normalize_str if self.lib.normalizer else str
+            contents = [norm(c) for c in self.normal]
+            out |= np.fromiter((any(c in t for c in contents) for t in map(norm, texts.to_pylist())), bool, len(texts))
+        return out
+
+    def pieces(self, texts: pa.Array) -> pa.ListArray:
+        if not self.keeps_space:
+            return pc.ascii_split_whitespace(pc.replace_substring_regex(texts, MARK, r"\1 \2"))
+        strange = pc.match_substring_regex(texts, f" ([{BLANK}]|$)")
+        cut = pc.replace_substring(texts, " ", CUT + " ")
+        if pc.any(strange).as_py():  # some spaces are no places to cut
+            cut = pc.if_else(strange, pc.replace_substring_regex(texts, f" ([^{BLANK}])", CUT + r" \1"), cut)
+        cut = pc.replace_substring_regex(cut, f"\n([^{BLANK}\\x00])", CUT + "\n\\1")
+        return pc.split_pattern(pc.replace_substring_regex(cut, MARK, r"\1" + CUT + r"\2"), CUT)
+
+    def learn(self, new: pa.Array, names: list[str]) -> None:
+        """Encode new pieces (the same as an Arrow array and as a list): those that stay apart as one text."""
+        # a piece that does not begin with its cut would join the one before it
+        apart = f"^[ \n][^{BLANK}]" if self.keeps_space else f"^[^{BLANK}]+$"
+        apart = pc.match_substring_regex(new, apart).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(new).to_numpy().astype(np.int64)
+        joined, one_by_one = np.flatnonzero(apart), np.flatnonzero(~apart).tolist()
+        for lo in range(0, len(joined), 4000):
+            at = joined[lo : lo + 4000]
+            part = [names[k] for k in at]
+            text = ("" if self.keeps_space else " ").join(part)
+            (ids,) = self.encode([text])
+            length = size[at]
+            if self.lib.normalizer:
+                normal = self.lib.normalizer.normalize_str(text).split(" ")
+                length = np.fromiter((len(x.encode()) for x in normal), np.int64, len(normal))
+            ids, end = np.array(ids, np.uint32), np.cumsum(length)
+            stop = np.cumsum(self.width[ids])
+            if len(length) != len(part) or not len(ids) or stop[-1] != end[-1]:
+                one_by_one += at.tolist()
+                continue
+            first = self.add(ids, np.bincount(np.searchsorted(end, stop), minlength=len(part)))
+            self.known.update(zip(part, range(first, first + len(part)), strict=True))
+        for lo in range(0, len(one_by_one), 4000):
+            part = [names[k] for k in one_by_one[lo : lo + 4000]]
+            first = self.add_each(part)
+            self.known.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def add_each(self, texts: list[str]) -> int:
+        got = self.encode(texts)
+        return self.add(np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+
+    def __call__(self, texts: pa.Array | list[str | None], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (a null is empty), each followed by ``end``, and each text's range in them."""
         if self.n > self.most:
             self.clear()
-        whole, heads, rests = {}, [], []
-        for k, t in enumerate(texts):
-            head, rest = "", []
-            if t and (self.special(t) or self.keeps_space and self.odd(t)):
-                whole[k] = self.add(self.whole(t))
-            elif t:
-                head, *rest = t.split(" ")
-            heads.append(head)
-            rests.append(rest)
-        if self.keeps_space:
-            for head in set(heads).difference(self.first):
-                self.first[head] = self.add(self.whole(head))
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        whole = np.flatnonzero(self.special(texts))
+        if len(whole):
+            mask = np.zeros(len(texts), bool)
+            mask[whole] = True
+            cut = self.pieces(pc.if_else(pa.array(mask), "", texts))
         else:
-            self.learn(self.first, heads)
-        self.learn(self.later, chain.from_iterable(rests))
-        later = np.fromiter(map(self.later.__getitem__, chain.from_iterable(rests)), np.int64)
-        first = np.fromiter(map(self.first.__getitem__, heads), np.int64)
-        first[list(whole)] = list(whole.values())
-        # each text: its first unit, the later ones, the end
-        sizes = np.fromiter(map(len, rests), np.int64) + 1 + (end is not None)
-        stop = np.cumsum(sizes)
-        unit, middle = np.empty(int(sizes.sum()), np.int64), np.ones(int(sizes.sum()), bool)
-        unit[stop - sizes], middle[stop - sizes] = first, False
+            cut = self.pieces(texts)
+        offs = np.asarray(cut.offsets).astype(np.int64)
+        found = cut.values.slice(offs[0], offs[-1] - offs[0]).dictionary_encode()
+        names = found.dictionary.to_pylist()
+        unit_of = np.fromiter((self.known.get(x, -1) for x in names), np.int64, len(names))
+        new = np.flatnonzero(unit_of < 0)
+        if len(new):
+            fresh = [names[k] for k in new]
+            self.learn(found.dictionary.take(pa.array(new)), fresh)
+            unit_of[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        first = self.add_each(texts.take(pa.array(whole)).to_pylist()) if len(whole) else 0
+        # each text: its pieces, or its one unit, then the end
+        n = np.diff(offs)
+        n[whole] = 1
+        stop = np.cumsum(n + (end is not None))
+        size = int(stop[-1]) if len(stop) else 0
+        unit, middle = np.empty(size, np.int64), np.ones(size, bool)
         if end is not None:
-            unit[stop - 1], middle[stop - 1] = self.add([end]), False
-        unit[middle] = later
-        n = self.cnt[unit] if len(unit) else np.zeros(0, np.int64)
-        ids = self.flat[expand(self.off[unit], n)] if len(unit) else np.zeros(0, np.uint32)
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return ids, ends[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])]
+            unit[stop - 1], middle[stop - 1] = self.add(np.array([end], np.uint32), np.ones(1, np.int64)), False
+        if len(whole):
+            last = stop[whole] - 1 - (end is not None)
+            unit[last], middle[last] = first + np.arange(len(whole)), False
+            keep = np.ones(int(offs[-1] - offs[0]), bool)
+            keep[expand(offs[whole] - offs[0], np.diff(offs)[whole])] = False
+            unit[middle] = unit_of[np.asarray(found.indices)[keep]]
+        else:
+            unit[middle] = unit_of[np.asarray(found.indices)]
+        count = self.cnt[unit]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        place = np.repeat(self.off[unit] - ends[:-1], count)
+        place += np.arange(len(place))
+        ids = self.flat[place]
+        return ids, ends[np.concatenate([[0], stop])]
+
+    def long(self, text: str, end: int | None, most: int) -> np.ndarray:
+        """Ids of one long text, which is cut where pieces begin, so that only ``most`` characters are in work at once."""
+        import re
+
+        if self.special(pa.array([text]))[0]:
+            return self([text], end)[0]
+        place, parts, lo = re.compile(r" (?=[^\s\x1c-\x1f\x85])"), [], 0
+        while lo < len(text):
+            found = place.search(text, lo + most)
+            hi = found.start() if found else len(text)
+            parts.append(self([text[lo:hi]], None)[0])
+            lo = hi
+        return np.concatenate([*parts, np.array([] if end is None else [end], np.uint32)])
 
 
 @lru_cache(maxsize=1)
@@ -143,17 +206,19 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     return Encoder(path, keeps_space)
 
 
-def text_lists(col: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[str | None]]]:
-    """Texts in lists of about ``most`` characters, each with the row of its first."""
-    lo, step = 0, 256
+def encoded(coder: Encoder, col: pa.Array, end: int, most: int = 16 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids, ranges) for slices of a column of about ``most`` bytes; a longer text is a slice of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if len(col) else np.zeros(0, np.int64)
+    lo = 0
     while lo < len(col):
-        part = col.slice(lo, step).to_pylist()
-        total, hi = 0, 0
-        while hi < len(part) and (hi == 0 or total + len(part[hi] or "") <= most):
-            total += len(part[hi] or "")
-            hi += 1
-        yield lo, part[:hi]
-        lo += hi
+        before = int(size[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, before + most, "right")))
+        if hi == lo + 1 and int(size[lo]) - before > most:
+            ids = coder.long(col[lo].as_py(), end, most)
+            yield lo, ids, np.array([0, len(ids)])
+        else:
+            yield lo, *coder(col.slice(lo, hi - lo), end)
+        lo = hi
 
 
 def crc32(ids: np.ndarray) -> int:
@@ -228,9 +293,8 @@ def write_token_planes(
 
         for b in batches:
             keys = b.column(0).to_pylist()
-            for lo, texts in text_lists(b.column(1)):
-                ids, at = coder(texts, end)
-                for j in range(len(texts)):
+            for lo, ids, at in encoded(coder, b.column(1), end):
+                for j in range(len(at) - 1):
                     held.append(ids[at[j] : at[j + 1]])
                     held_docs.append(keys[lo + j])
                     sizes.append(int(at[j + 1] - at[j]))

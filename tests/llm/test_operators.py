@@ -87,9 +87,33 @@ def test_packing(docs, none):
 
 
 def test_sum_of_squares_choice():
-    p = packing.SumOfSquares(10)
-    assert p.place((4,)) is None and p.place((6,)) == [(4,), (6,)]
-    assert p.place((10,)) == [(10,)] and p.n_open == 0
+    item = lambda n, d: (n, d, 0, np.arange(n), n)
+    sizes = lambda windows: [[(x[0], x[1]) for x in w] for w in windows]
+    p = packing.SumOfSquares(10, 10)
+    assert p.place(item(4, 1)) == [] and sizes(p.place(item(6, 2))) == [[(4, 1), (6, 2)]]
+    assert sizes(p.place(item(20, 3))) == [[(10, 3)], [(10, 3)]] and not p.count.any()
+    assert p.place(item(5, 4)) == [] and p.place(item(3, 5)) == []  # 5 + 3 = 8 opens no second level
+    assert list(np.flatnonzero(p.count)) == [8] and sizes(p.place(item(2, 6))) == [[(5, 4), (3, 5), (2, 6)]]
+
+
+@pytest.mark.parametrize("draw", [lambda n: rng.integers(1, 900, n), lambda n: np.full(n, 700), lambda n: rng.choice([1, 999, 2500], n)])
+def test_sum_of_squares_bounds(draw):
+    """Any sizes: each id lies in one piece, full windows only, few windows open, and little is left to close up."""
+    p, n, items = packing.SumOfSquares(1000), 0, draw(4000)
+    seen = {d: [] for d in range(len(items))}
+    for d, s in enumerate(items):
+        for w in p.place((int(s), d, 0, np.arange(s), int(s))):
+            assert sum(x[0] for x in w) == 1000
+            n += 1000
+            for x in w:
+                seen[x[1]].append(x)
+        assert p.count.max() <= 6
+    left = p.drain()
+    assert sum(x[0] for w in left for x in w) == items.sum() - n <= 0.05 * items.sum()
+    for w in packing.close_up(left, 1000):
+        for x in w:
+            seen[x[1]].append(x)
+    assert all(np.array_equal(np.concatenate([x[3] for x in sorted(seen[d], key=lambda x: x[2])]), np.arange(s)) for d, s in enumerate(items))
 
 
 def test_quality(docs, none):
@@ -285,9 +309,14 @@ def test_texts_with_added_tokens(spark, path, keeps_space):
     from tokenizers import Tokenizer
 
     texts = ["a b <|endoftext|> c", "a<|endoftext|>b", "<|startoftext|>x", " <|endoftext|>", "a <|ENDOFTEXT|> c", "<|endoftext|", "<| endoftext|>", None, "a  <|endoftext|>\n\n", "<|endoftext|>" * 3, "b c"]
-    lib, (ids, at) = Tokenizer.from_file(path), tokens.Encoder(path, keeps_space)(texts, 2)
+    bits = ["a", "B", "word", " ", "  ", "\n", "\n\n", "\t", "\u3000", "\x85", "\x1c", "\xa0", ".", ",", "'s", "1", "23", "é", "e\u0301", "İ", "Σ", "日本", "<|", "|>", "<|endoftext|>", "\x00", "\r\n", "🙂", "&&", " The", "ß"]
+    texts += ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(3000)]
+    lib, coder = Tokenizer.from_file(path), tokens.Encoder(path, keeps_space)
+    ids, at = coder(texts, 2)
     want = [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
     assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == want
+    long = "\n".join(t for t in texts if t and "|" not in t and "\x00" not in t)  # one long text in parts
+    assert coder.long(long, 2, 500).tolist() == [*lib.encode(long, add_special_tokens=False).ids, 2]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     crc = {k: zlib.crc32(np.array(w, "<u4").tobytes()) for k, w in enumerate(want)}
     got = tokens.token_planes(df, path, keeps_space=keeps_space) if keeps_space else packing.pack_sequences(df, path, size=4096).filter("length = doc_tokens")
