@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .vec import blobs, owners, shingle_sets, text_slices, word_hashes
+from .work import materialize
 
 
 def shingle_table(rows: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -31,7 +32,7 @@ class Items:
     class has a threshold, its largest sketch value; of a document only the hashes below it are looked up."""
 
     def __init__(self, rows: list, threshold: float):
-        self.ids = np.array([r["id"] for r in rows], np.int64)
+        self.ids = [r["id"] for r in rows]  # null where the item has none
         self.sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
         self.n = np.array([len(s) for s in self.sets], np.int64)
         self.need = np.ceil(threshold * self.n - 1e-9).astype(np.int64)
@@ -71,15 +72,27 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of each document that holds at least ``threshold`` of the distinct
     k-word shingles of a test item. Words are runs of non-space bytes with A-Z in lower case; an item or document of
-    fewer than k words is one shingle. Null or empty texts hold nothing and are held by nothing; rows that repeat an id
-    give a row each; empty tables give no rows. Items go to the tasks in blocks of at most ``block_shingles``
-    shingles (each block searches all documents); documents are not shuffled."""
+    fewer than k words is one shingle. Null or empty texts hold nothing and are held by nothing; ids may be null; rows that
+    repeat an id give a row each; empty tables give no rows; other columns are ignored. Items go to the tasks in blocks of
+    at most ``block_shingles`` shingles; documents are not shuffled. With several blocks the documents' shingles are
+    written once and each block searches them. A prefix of the sorted hashes serves as the signature of each size class
+    (see ``Items``), which finds every pair; a text is held whole, with some 80 bytes for each of its bytes."""
     spark = docs.sparkSession
     items = shingle_table(benchmark, k, item_id_col, item_text_col).filter("n > 0").persist()
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_shingles))
     schema = "doc_id long, item_id long, n_shared long, n_item long"
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+
+    def shingled(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for lo, _, data, offs in text_slices(batch.column(1)):
+            yield lo, *shingle_sets(*word_hashes(data, offs, lower=True), k)
+
+    def written(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for lo, _, data, offs in text_slices(batch.column(1), 16 << 20):
+            yield lo, np.frombuffer(data.tobytes(), np.uint64), offs // 8
+
+    kept = materialize(shingle_table(docs, k, id_col, text_col).select("id", "shingles")) if blocks > 1 else None
     found = None
     for b in range(blocks):
         # about block_shingles / k shingles of 8 bytes: a bounded part, whatever the table's size
@@ -90,13 +103,12 @@ def find_leaks(
             block = Items(sent.value, threshold) if sent.value else None
             for batch in batches:
                 keys = batch.column(0)
-                for lo, _, data, offs in text_slices(batch.column(1)) if block else ():
-                    h, at = shingle_sets(*word_hashes(data, offs, lower=True), k)
-                    out = [(keys[lo + d].as_py(), int(block.ids[i]), s, int(block.n[i])) for d, i, s in block.search(h, at)]
+                for lo, h, at in (written(batch) if blocks > 1 else shingled(batch)) if block else ():
+                    out = [(keys[lo + d].as_py(), block.ids[i], s, int(block.n[i])) for d, i, s in block.search(h, at)]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "item_id", "n_shared", "n_item"])
 
-        part = rows.mapInArrow(search, schema)
+        part = (rows if kept is None else kept).mapInArrow(search, schema)
         found = part if found is None else found.unionByName(part)
     items.unpersist()
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))

@@ -16,6 +16,8 @@ from .work import broadcast_if, materialize
 #: (1 - 0.85**4)**24 = 2e-8, of 0.8 with 4e-6; and BITS low bits of each of the BANDS * ROWS minima.
 BANDS, ROWS, BITS = 24, 4, 2
 N = BANDS * ROWS
+#: A pair of similarity 0.75 shares no key with probability (1 - 0.75**4)**24 = 1e-4; lower thresholds are refused.
+LEAST_THRESHOLD = 0.75
 #: A pair's estimate has a standard error of at most 0.07 (0.043 at 0.85); pairs this far below the threshold go.
 SLACK = 0.25
 
@@ -262,6 +264,8 @@ def near_duplicates(
     confirmed on the whole sets. A family (what candidates connect) whose links leave several components is compared
     again, all members outside its largest component with all its members, in tiles of at most about TILE classes a
     side, so that no link between components is lost and no pair becomes a row."""
+    if not LEAST_THRESHOLD <= threshold <= 1:
+        raise ValueError(f"the bands find pairs of a similarity of {LEAST_THRESHOLD} or more, not of {threshold}")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(

@@ -10,25 +10,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 SPACE = "[\\\\x20\\\\x09-\\\\x0D]"
 
 
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
+
+
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the statistics of each whole text (a null text has none): n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, and those that only the learned rules use: n_lines, n_upper, n_marks. Row by row, with no shuffle."""
+    n_repeat_words, and those that only the learned rules use: n_lines, n_upper, n_marks. Row by row, with no shuffle; a
+    text of n words takes n log n steps. Columns of these names are replaced, all others stay."""
     t = "__t"
-    df = docs.withColumn(t, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    own = [c for c in docs.columns if c not in STATISTICS]
+    # the row's own columns stay inside one struct, so that no name clashes with those used here
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row") if own else F.lit(None).alias("__row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(t))
     df = df.withColumn("__w", F.expr(f"array_remove(split({t}, '{SPACE}+'), '')"))
     df = df.withColumn("__n", F.size("__w"))
     # 64-bit hashes of the 3-word windows; the repeated values come from a sort of plain longs
     df = df.withColumn("__h", F.expr("CASE WHEN __n < 4 THEN array() ELSE transform(sequence(0, __n - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])) END"))
     df = df.withColumn("__s", F.sort_array("__h"))
-    df = df.withColumn("__d", F.expr("array_distinct(filter(__s, (x, i) -> i > 0 AND x = __s[greatest(i - 1, 0)]))"))
-    few = "filter(transform(__h, (x, i) -> CASE WHEN array_contains(__d, x) THEN i END), x -> x IS NOT NULL)"
-    # texts with many repeated windows: places by a sort of (hash, place), so that the work stays n log n
-    many = (
+    df = df.withColumn("__d", F.expr("exists(sequence(1, size(__s)), i -> i < size(__s) AND __s[i] = __s[i - 1])"))
+    # texts with repeated windows: places by a sort of (hash, place), so that the work stays n log n
+    both = (
         "transform(filter(arrays_zip(__p, slice(concat(__p, array(NULL)), 2, size(__p)), slice(concat(array(NULL), __p), 1, size(__p))), "
         "x -> coalesce(x.__p.h = x.`1`.h, false) OR coalesce(x.__p.h = x.`2`.h, false)), x -> x.__p.i)"
     )
-    df = df.withColumn("__p", F.expr("CASE WHEN size(__d) > 64 THEN sort_array(transform(__h, (x, i) -> named_struct('h', x, 'i', i))) END"))
-    df = df.withColumn("__r", F.expr(f"CASE WHEN size(__d) = 0 THEN array() WHEN size(__d) <= 64 THEN {few} ELSE {many} END"))
+    df = df.withColumn("__p", F.expr("CASE WHEN __n >= 4 AND __d THEN sort_array(transform(__h, (x, i) -> named_struct('h', x, 'i', i))) END"))
+    df = df.withColumn("__r", F.expr(f"CASE WHEN __p IS NULL THEN array() ELSE {both} END"))
     df = df.withColumn("__l", F.expr(f"filter(split({t}, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
     gone = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
     stats = {
@@ -43,8 +48,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }
     # the generator keeps later filters from being rewritten in terms of the text, which would copy these expressions
     # into each other without end
-    own = [c for c in docs.columns if c not in stats and not c.startswith("__")]
-    return df.select(*own, F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in stats.items()]))).alias("__stats")).select(*own, "__stats.*")
+    return df.select("__row", F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in stats.items()]))).alias("__stats")).select(*["__row.*"] * bool(own), "__stats.*")
 
 
 #: Ratios that rules test, from the statistics; each is null where its divisor is 0.
@@ -157,11 +161,13 @@ def fit_quality_rules(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labelled: int = 3000,
 ) -> list[list[Test]]:
     """Learn rules from at most ``most_labelled`` labelled documents (those whose ids have the smallest hashes), the one
-    bound in this module. Labels other than 0 and 1, null ids and ids without a document teach nothing."""
+    bound in this module. Labels other than 0 and 1, null ids and ids without a document teach nothing; of rows that
+    repeat an id the text with the smallest hash does."""
     sample = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__y"))
     sample = sample.orderBy(F.xxhash64("__id"), "__id").limit(most_labelled)
     few = docs.select(F.col(id_col).alias("__id"), F.col(text_col)).join(F.broadcast(sample), "__id").withColumnsRenamed({"__id": "id_", "__y": "y_"})
-    rows = ratios(text_statistics(few, text_col)).select("y_", F.xxhash64("id_").alias("o_"), *RATIOS).limit(2 * most_labelled).collect()
+    few = few.groupBy("id_", "y_").agg(F.min_by(text_col, F.xxhash64(text_col)).alias("text_"))
+    rows = ratios(text_statistics(few, "text_")).select("y_", F.xxhash64("id_").alias("o_"), *RATIOS).collect()
     rows.sort(key=lambda r: r["o_"])
     if not rows:
         return []

@@ -91,6 +91,28 @@ _SHINGLES = (
 )
 
 ORACLE_SQL = {
+    "op8_repeated_bytes": f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, b, substring(h, b * 1000 + 1, 1800) AS part, len(h) // 2 - 400 AS last FROM (SELECT doc_id, h, unnest(range(0, len(h) // 1000 + 1)) AS b FROM d)),
+w AS (SELECT doc_id, b * 500 + i AS pos, hash(substring(part, 2 * i + 1, 800)) AS v FROM (SELECT *, unnest(range(0, least(500, last - b * 500 + 1))) AS i FROM c)),
+g AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY v) AS n FROM w) WHERE n > 1),
+s AS (SELECT doc_id, pos, sum(CASE WHEN pos <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run
+  FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM g)),
+r AS (SELECT doc_id, min(pos) AS a, max(pos) + 400 AS e FROM s GROUP BY doc_id, run),
+k AS (SELECT r.doc_id, count(*) AS n_spans, sum(e - a) AS n_removed, string_agg(substring(h, 2 * gap + 1, 2 * (a - gap)), '' ORDER BY a) AS front, max(e) AS tail
+  FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS gap FROM r) r JOIN d ON r.doc_id = d.doc_id GROUP BY r.doc_id)
+SELECT d.doc_id, cast(len(h) // 2 AS bigint) AS n_bytes, cast(coalesce(n_removed, 0) AS bigint) AS n_removed, cast(coalesce(n_spans, 0) AS bigint) AS n_spans,
+  sha256(unhex(CASE WHEN tail IS NULL THEN h ELSE front || substring(h, 2 * tail + 1) END)) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op9_bbit_minhash": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOW.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT y, root FROM r JOIN l ON r.doc_id = x),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT n.doc_id, cast(n AS bigint) AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN c ON n.doc_id = c.doc_id""",
     "op6_repeated_passages": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),

@@ -71,24 +71,27 @@ def entropy_spans(cands: str, kind: str) -> Column:
 def find_secrets(docs: DataFrame, *, text_col: str = "text", out: str = "secrets") -> DataFrame:
     """Adds ``out``: array<struct<start, kind, end, name>> of all secrets of each whole text, by start, then kind.
 
-    Places are code points, ends exclusive. Known forms (assign, access, hex) keep their spans; the entropy method adds
-    spans of candidates that no known form covers. A null or empty text has none; rows that repeat get equal results; an
-    empty table stays empty; a column named ``out`` is replaced. Nothing is shuffled."""
-    own = [c for c in docs.columns if c != out]
-    df = docs.select(*own, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
+    Places are code points, ends exclusive. Known forms (assign, access, hex) keep their spans. The entropy method adds the
+    spans of its own kinds: high-entropy windows of candidates, also those inside an assignment, but not inside an access
+    or hex span, which already is such a string. A null or empty text has none; rows that repeat get equal results; an
+    empty table stays empty; a column named ``out`` is replaced, all others stay. Nothing is shuffled; a long text is
+    searched as a whole, and the work grows with its matches times their number."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c != out]
+    # the row's own columns stay inside one struct, so that no name clashes with those used here
+    df = docs.select(F.struct(*own).alias("__row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
     df = df.withColumns({"__assign": matches("__t", ASSIGN, 2), "__access": matches("__t", ACCESS), "__hex": matches("__t", HEX)})
     df = df.withColumn("__assign", F.filter("__assign", lambda x: F.length(x["m"]) >= 6))
-    df = df.withColumn("__base", F.concat("__assign", "__access", "__hex"))
+    df = df.withColumn("__told", F.concat("__access", "__hex"))
     spans = []
     for kind, (pattern, *_) in CLASSES.items():
         df = df.withColumn(f"__c_{kind}", matches("__t", pattern))
         df = df.withColumn(f"__s_{kind}", entropy_spans(f"__c_{kind}", kind))
-        df = df.withColumn(f"__s_{kind}", F.expr(f"filter(__s_{kind}, x -> NOT exists(__base, b -> b.s < x.e AND x.s < b.e))"))
+        df = df.withColumn(f"__s_{kind}", F.expr(f"filter(__s_{kind}, x -> NOT exists(__told, b -> b.s < x.e AND x.s < b.e))"))
     # a hexadecimal candidate is not told twice
     df = df.withColumn("__s_entropy_b64", F.expr("filter(__s_entropy_b64, x -> NOT exists(__s_entropy_hex, b -> b.s < x.e AND x.s < b.e))"))
     for k, (name, col) in enumerate(zip(KINDS, ["__assign", "__access", "__hex", "__s_entropy_hex", "__s_entropy_b64"], strict=True)):
         spans.append(F.expr(f"transform({col}, x -> named_struct('start', x.s, 'kind', {k}, 'end', x.e, 'name', '{name}'))"))
-    return df.select(*own, F.array_sort(F.concat(*spans)).alias(out))
+    return df.select("__row.*", F.array_sort(F.concat(*spans)).alias(out))
 
 
 def redact(found: DataFrame, *, text_col: str = "text", secrets: str = "secrets", mark: str = "[SECRET]") -> Column:

@@ -17,18 +17,17 @@ def external_shuffle(
     each bucket in memory (Fisher-Yates, ``shuffle(array, seed)``) and writes it. Buckets follow each other; shard k of n
     has the ranks from k * rows / n to (k + 1) * rows / n. Only bucket counts are gathered, never rows.
 
-    Nulls and repeated rows are rows like any others; an empty table gives an empty result; columns named shard, slot or
-    of the form __x are replaced. With ``path`` the shards are written there, by shard."""
+    Nulls, repeated rows and very long texts are rows like any others; an empty table gives an empty result; columns named
+    shard or slot are replaced. With ``path`` the shards are written there, by shard."""
     spark = rows.sparkSession
-    own = [c for c in rows.columns if c not in ("shard", "slot") and not c.startswith("__")]
+    own = [F.col(f"`{c}`") for c in rows.columns if c not in ("shard", "slot")]
     total = rows.agg(F.sum(F.expr(size)).cast("long")).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_size))
     place = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
     parts = max(1, min(n_buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    scattered = rows.select(*own).withColumn("__bucket", F.pmod(place, F.lit(n_buckets))).repartition(parts, "__bucket")
-    record = F.struct(*own)
-    shuffled = scattered.groupBy("__bucket").agg(F.shuffle(F.collect_list(record), F.lit(seed)).alias("__rows"))
-    staged = materialize(shuffled.select("__bucket", F.posexplode("__rows").alias("__pos", "__row")).select("__bucket", "__pos", "__row.*"))
+    scattered = rows.select(F.struct(*own).alias("__row"), F.pmod(place, F.lit(n_buckets)).alias("__bucket")).repartition(parts, "__bucket")
+    shuffled = scattered.groupBy("__bucket").agg(F.shuffle(F.collect_list("__row"), F.lit(seed)).alias("__rows"))
+    staged = materialize(shuffled.select("__bucket", F.posexplode("__rows").alias("__pos", "__row")))
 
     counts = staged.groupBy("__bucket").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("__bucket") / 1024))
     groups = counts.groupBy("group").agg(F.sum("n").alias("gn"))
@@ -43,7 +42,7 @@ def external_shuffle(
     guess = F.least(shard.cast("long"), F.lit(n_shards - 1))
     fixed = F.when(low(guess) > rank, guess - 1).when((low(guess + 1) <= rank) & (guess + 1 < n_shards), guess + 1).otherwise(guess)
     out = staged.join(base, "__bucket").withColumn("__shard", fixed)
-    out = out.select(*own, F.col("__shard").cast("int").alias("shard"), (rank - low(F.col("__shard"))).alias("slot"))
+    out = out.select("__row.*", F.col("__shard").cast("int").alias("shard"), (rank - low(F.col("__shard"))).alias("slot"))
     if path:
         out.write.partitionBy("shard").parquet(path)
         discard(staged)

@@ -206,7 +206,7 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     return Encoder(path, keeps_space)
 
 
-def encoded(coder: Encoder, col: pa.Array, end: int, most: int = 16 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded(coder: Encoder, col: pa.Array, end: int, most: int = 8 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, ranges) for slices of a column of about ``most`` bytes; a longer text is a slice of its own."""
     size = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if len(col) else np.zeros(0, np.int64)
     lo = 0

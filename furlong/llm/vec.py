@@ -63,7 +63,7 @@ def text_slices(col: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int,
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"" if pa.types.is_binary(col.type) else "")
     if len(col) == 0:
         return
     kind = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,12 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``; where that is unset, a temporary one, but only for a local session,
+    whose tasks run in the driver's process."""
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="furlong-")
         spark.conf.set(CHECKPOINT_KEY, base)
     return f"{base.rstrip('/')}/furlong-{uuid.uuid4().hex}"
