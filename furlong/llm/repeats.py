@@ -7,10 +7,16 @@ The search is one chain of Spark jobs over any sequence of symbols (words or byt
 2. Runs are counted by (anchor, content). A run whose content stands elsewhere is repeated as a whole, without looking at
    its windows. An anchor with a single content cannot lead to anything else. What is left is where an anchor stands in
    several contents: the edges of repeated passages.
-3. For those, one holder of each content sends its window hashes, dealt by anchor; anchors with many contents are dealt
-   further by window hash. Equal (anchor, window) pairs are then found by sorting.
+3. For those, the holders of each content send what the run covers to its anchor's task. Under removal of what stands in
+   an earlier document (``earlier_only``), these contents are the anchor's reference shard: in ascending order of their
+   ids, documents first run through a suffix automaton of all earlier ones, whose matching statistics give the spans of
+   at least W symbols, and are then added to it. A shard has at most PART_CONTENTS contents.
+4. Where the first copy goes too, and for anchors with more contents, window hashes are sent instead, dealt by anchor and
+   window hash, and equal (anchor, window) pairs are found by sorting.
 
-Both hashes have 64 bits and are independent. Nothing is sampled or capped, groups of copies collapse to one holder at
+A whole document never runs through a shard that cannot hold a window of it, which is what keeps automata affordable: the
+shards grow with the corpus, and broadcasting all of them to all documents costs its square. Both hashes have 64 bits and
+are independent. Nothing is sampled or capped, groups of copies collapse to one holder at
 step 2, and what travels is proportional to the edges of repeats, not to pairs."""
 
 from __future__ import annotations
@@ -20,8 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .automata import SuffixAutomaton
 from .vec import BYTE_VALUES, Rolling, blobs, expand, mix, owners, signed, text_slices, word_bounds, word_hashes
 from .work import broadcast_if, discard, materialize
 
@@ -29,6 +37,36 @@ from .work import broadcast_if, discard, materialize
 TASK_WINDOWS, PART_CONTENTS = 2_000_000, 32
 
 
+def shard_spans(ids: np.ndarray, parts: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int]]:
+    """(part, start, end) of the spans of each part that stand in a part with a smaller id, for parts in ascending order of
+    ids: matching statistics against the suffix automaton of all parts before."""
+    shard = SuffixAutomaton()
+    first = 0
+    for last in np.append(np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)).tolist():
+        own = [parts[k].tolist() for k in range(first, last)]
+        if first:
+            for k, symbols in zip(range(first, last), own, strict=True):
+                start = end = -1
+                for j, n in enumerate(shard.statistics(symbols), 1):
+                    if n >= window:
+                        if j - window > end:
+                            if end > 0:
+                                yield k, start, end
+                            start = j - window
+                        end = j
+                if end > 0:
+                    yield k, start, end
+        if last < len(ids):
+            for symbols in own:
+                shard.add(symbols)
+        first = last
+
+
+#: What step 3 sends: symbols of whole runs with their numbers n, or (n null) hashes of single windows.
+SENT = ["route", "symbols", "anchor", "ids", "th", "start", "n"]
+SENT_SCHEMA = pa.schema([("route", pa.int64()), *((c, pa.binary()) for c in SENT[1:])])
+
+
 def symbols(data: np.ndarray, offs: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
     return (BYTE_VALUES[data], offs) if unit == "byte" else word_hashes(data, offs, lower=False)
 
@@ -114,7 +152,8 @@ def find_repeats(
     discard(runs)
     discard(known)
 
-    senders = status.filter("sends").groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "n", "anchor", "n_contents")).alias("runs"))
+    by_shard = F.lit(earlier_only) & (F.col("n_contents") <= PART_CONTENTS)
+    senders = status.filter("sends").groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "n", "anchor", "n_contents", by_shard.alias("by_shard"))).alias("runs"))
     size = status.filter("sends").agg(F.sum("n").cast("long").alias("windows"), F.count("*").alias("runs")).first()
     todo = rows.join(broadcast_if(senders, 40 * size["runs"]), ["doc_id", "th"]).select("doc_id", "th", "t", "runs")
 
@@ -123,12 +162,27 @@ def find_repeats(
             ids, th = b.column(0).to_numpy(), b.column(1).to_numpy()
             lists = b.column(3)
             ends, flat = np.asarray(lists.offsets), lists.values
-            field = {c: flat.field(c).to_numpy() for c in ("a", "n", "anchor", "n_contents")}
+            field = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("a", "n", "anchor", "n_contents", "by_shard")}
             for lo, hi, data, offs in text_slices(b.column(2)):
                 sym, at = symbols(data, offs, unit)
                 roll = Rolling(sym)
                 r = np.arange(ends[lo], ends[hi])
                 doc = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+                whole = field["by_shard"][r]
+                if whole.any():
+                    own, owner = r[whole], doc[whole]
+                    n, a = field["n"][own].astype(np.int64) + window - 1, field["a"][own].astype(np.int64) + at[owner]
+                    route = (mix(field["anchor"][own].view(np.uint64), 17) >> np.uint64(40)).astype(np.int64)
+                    order = np.argsort(route, kind="stable")
+                    s = route[order]
+                    cut = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+                    edge = np.append(cut, len(s))
+                    symbol_edge = np.concatenate([[0], np.cumsum(n[order])])[edge]
+                    row, own = lo + owner[order], own[order]
+                    cols = [pa.array(s[cut]), blobs(sym[expand(a[order], n[order])], symbol_edge)]
+                    cols += [blobs(x, edge) for x in (field["anchor"][own], ids[row], th[row], field["a"][own].astype(np.int32), n[order].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, SENT)
+                    r, doc = r[~whole], doc[~whole]
                 n = field["n"][r].astype(np.int64)
                 start = expand(field["a"][r].astype(np.int64), n)
                 run = np.repeat(np.arange(len(r)), n)
@@ -145,15 +199,43 @@ def find_repeats(
                 edge = np.append(cut, len(s))
                 row = lo + doc[run][order]
                 cols = [pa.array(s[cut]), *(blobs(x, edge) for x in (h[order], anchor[order], ids[row], th[row], start[order].astype(np.int32)))]
+                cols.append(pa.nulls(len(cut), pa.binary()))  # single windows
                 if len(cut):
-                    yield pa.RecordBatch.from_arrays(cols, ["route", "h", "anchor", "ids", "th", "start"])
+                    yield pa.RecordBatch.from_arrays(cols, SENT)
+
+    def packed(ids: np.ndarray, th: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
+        """Spans, sorted by (id, text), as a row for each text."""
+        cut = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array(th[cut]), blobs(span.astype(np.int32), np.append(cut, len(ids)))], ["doc_id", "th", "spans"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)  # about TASK_WINDOWS hashes
-        if not sum(b.num_rows for b in held):
-            return
-        join = lambda name, kind: np.frombuffer(b"".join(x for b in held for x in b.column(name).to_pylist()), kind)
-        h, anchor, ids, th, start = join("h", np.uint64), join("anchor", np.uint64), join("ids", np.int64), join("th", np.int64), join("start", np.int32)
+        held = pa.Table.from_batches(list(batches), SENT_SCHEMA)  # about TASK_WINDOWS hashes, or what as many windows cover
+        shards = held.filter(pc.is_valid(held.column("n")))
+        if shards.num_rows:
+            yield from match_shards(shards)
+        windows = held.filter(pc.is_null(held.column("n")))
+        if windows.num_rows:
+            yield from match_windows(windows)
+
+    def joined(t: pa.Table, name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
+
+    def match_shards(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        sym, anchor, ids, th, start, n = (joined(t, c, k) for c, k in zip(SENT[1:], (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32), strict=True))
+        at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        order = np.lexsort((start, th, ids, anchor))
+        where, spans = [], []
+        for own in np.split(order, np.flatnonzero(np.diff(anchor[order].view(np.int64))) + 1):
+            for k, a, e in shard_spans(ids[own], [sym[at[j] : at[j + 1]] for j in own], window):
+                where.append(own[k])
+                spans.append((start[own[k]] + a, start[own[k]] + e))
+        if where:
+            where, spans = np.array(where), np.array(spans)
+            order = np.lexsort((th[where], ids[where]))
+            yield packed(ids[where][order], th[where][order], spans[order])
+
+    def match_windows(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, anchor, ids, th, start = (joined(t, c, k) for c, k in zip(SENT[1:-1], (np.uint64, np.uint64, np.int64, np.int64, np.int32), strict=True))
         order = np.lexsort((ids, anchor, h))
         h, anchor, ids, th, start = h[order], anchor[order], ids[order], th[order], start[order]
         new = np.append(True, (h[1:] != h[:-1]) | (anchor[1:] != anchor[:-1]))
@@ -168,13 +250,9 @@ def find_repeats(
         new = np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1]) | (start[1:] > start[:-1] + 1))
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(ids)) - 1
-        span = np.stack([start[first], start[last] + window], axis=1).astype(np.int32)
-        i, t = ids[first], th[first]
-        cut = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])))
-        edge = np.append(cut, len(i))
-        yield pa.RecordBatch.from_arrays([pa.array(i[cut]), pa.array(t[cut]), blobs(span, edge)], ["doc_id", "th", "spans"])
+        yield packed(ids[first], th[first], np.stack([start[first], start[last] + window], axis=1))
 
-    sent = "route long, h binary, anchor binary, ids binary, th binary, start binary"
+    sent = "route long, symbols binary, anchor binary, ids binary, th binary, start binary, n binary"
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["windows"] or 0) // TASK_WINDOWS))
     found = todo.mapInArrow(send, sent).repartition(tasks, "route").mapInArrow(match, "doc_id long, th long, spans binary")
 

@@ -9,7 +9,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from furlong.llm import components, decontam, licenses, minhash, packing, quality, queries, repeats, secret_scan, shuffling, tokens
+from furlong.llm import automata, components, decontam, licenses, minhash, packing, quality, queries, repeats, secret_scan, shuffling, tokens
 from furlong.llm.queries import tokenizer_path
 
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
@@ -190,6 +190,41 @@ def test_secrets(spark, none):
     assert secret_scan.find_secrets(none).count() == 0
 
 
+def test_suffix_automaton():
+    for _ in range(60):
+        seqs, probe = [rng.integers(0, 3, rng.integers(0, 25)).tolist() for _ in range(3)], rng.integers(0, 4, 30).tolist()
+        a = automata.SuffixAutomaton()
+        for q in seqs:
+            a.add(q)
+        every = {tuple(q[i:j]) for q in seqs for i in range(len(q)) for j in range(i + 1, len(q) + 1)}
+        want = [max([j - i for i in range(j) if tuple(probe[i:j]) in every], default=0) for j in range(1, len(probe) + 1)]
+        assert list(a.statistics(probe)) == want and len(a.next) <= 2 * max(sum(map(len, seqs)), 1)
+
+
+@pytest.mark.parametrize("contents", [0, 2, 1000])
+def test_shards_and_windows_agree(spark, monkeypatch, contents):
+    """Anchors of any number of contents, by automata or by windows, give what brute force gives."""
+    monkeypatch.setattr(repeats, "PART_CONTENTS", contents)
+    base, texts = prose(90).split(), []
+    for i in range(30):
+        w = [*prose(int(rng.integers(0, 60))).split(), *base[int(rng.integers(0, 30)) : int(rng.integers(60, 91))], *prose(int(rng.integers(0, 60))).split()]
+        texts.append(" ".join(w if i % 3 else w + w))
+    ids = [int(x) for x in rng.integers(0, 25, len(texts))]  # some repeat
+    got = repeats.remove_repeats(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), unit="word", window=20, k=4, earlier_only=True)
+    got = sorted((r.doc_id, r.n_units, r.n_removed) for r in got.collect())
+    first = {}
+    for d, t in zip(ids, texts, strict=True):
+        w = t.split()
+        for p in range(len(w) - 19):
+            first[tuple(w[p : p + 20])] = min(d, first.get(tuple(w[p : p + 20]), d))
+    want = []
+    for d, t in zip(ids, texts, strict=True):
+        w = t.split()
+        gone = {p + j for p in range(len(w) - 19) if first[tuple(w[p : p + 20])] < d for j in range(20)}
+        want.append((d, len(w), len(gone)))
+    assert got == sorted(want) and any(x[2] for x in want)
+
+
 def brute_repeats(seqs, window, earlier):
     at = collections.defaultdict(list)
     for d, s in enumerate(seqs):
