@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 
 def daily_before(runs: DataFrame, keys: list[str], day: str, sums: dict[str, Column]) -> DataFrame:
@@ -13,6 +15,16 @@ def daily_before(runs: DataFrame, keys: list[str], day: str, sums: dict[str, Col
     return daily.select(*keys, day, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums])
 
 
+def with_before(runs: DataFrame, keys: list[str], day: str, sums: dict[str, str]) -> DataFrame:
+    """``runs`` with the sums of all earlier days of its keys. A null key is a key like any other."""
+    b = daily_before(runs, keys, day, {n: F.expr(e) for n, e in sums.items()})
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, day]]
+    cond = same[0]
+    for c in same[1:]:
+        cond &= c
+    return runs.alias("r").join(b.alias("b"), cond).select("r.*", *[F.col(f"b.{n}").alias(n) for n in sums])
+
+
 def asof_strict(probes: DataFrame, source: DataFrame, keys: list[str], day: str, values: list[str], tie: str) -> DataFrame:
     """``probes`` with the ``values`` of the last ``source`` row of the same keys on an earlier day (the largest ``tie`` of
     that day). Probes and source are one union in one window; a probe stands before the sources of its day."""
@@ -24,11 +36,31 @@ def asof_strict(probes: DataFrame, source: DataFrame, keys: list[str], day: str,
     return out.select(*probes.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
-def rolling_asof(probes: DataFrame, source: DataFrame, keys: list[str], day: str, tie: str, value: str, k: int, out: str) -> DataFrame:
-    """``probes`` with the mean of the last ``k`` source values of earlier days."""
-    w = Window.partitionBy(*keys).orderBy(day, tie).rowsBetween(-(k - 1), 0)
-    rolled = source.filter(F.col(value).isNotNull()).withColumn(out, F.avg(value).over(w))
-    return asof_strict(probes, rolled, keys, day, [out], tie)
+def last(k: int | None, agg: str) -> Callable[[WindowSpec], Column]:
+    """An aggregate of the last k rows, or of all: ``last(5, "avg(x)")`` is a reduction of ``asof_reductions``."""
+    return lambda w: F.expr(agg).over(w.rowsBetween(Window.unboundedPreceding if k is None else 1 - k, 0))
+
+
+Reduction = Callable[[WindowSpec], Column]
+
+
+def asof_reductions(runs: DataFrame, key: str, day: str, tie: str, blocks: dict[str, tuple[str, dict[str, Reduction]]]) -> DataFrame:
+    """``runs`` with reductions of each key's rows of earlier days. A block is a value (an SQL expression; rows where it is null are no
+    source) with reductions that read it as column ``x`` in the order of (day, tie); its outputs at a row are those at the
+    last source row of an earlier day. All blocks of a key share one exchange, and no join is needed: what stood at the
+    last source row is the max_by of a frame that ends on the day before."""
+    own = runs.columns
+    df = runs.withColumn("__day", F.datediff(F.col(day), F.lit("1970-01-01")))
+    before = Window.partitionBy(key).orderBy("__day").rangeBetween(Window.unboundedPreceding, -1)
+    out = []
+    for name, (value, reductions) in blocks.items():
+        x = f"__{name}"
+        w = Window.partitionBy(key, F.col(x).isNull()).orderBy("__day", tie)
+        df = df.withColumn(x, F.expr(value)).withColumn("x", F.col(x))
+        df = df.select(*own, *[c for c in df.columns if c.startswith("__")], F.when(F.col(x).isNotNull(), F.struct(*[r(w).alias(n) for n, r in reductions.items()])).alias(f"{x}_now"))
+        out += [F.col(f"{x}_was.{n}").alias(n) for n in reductions]
+    was = {f"__{n}_was": F.max_by(f"__{n}_now", F.when(F.col(f"__{n}").isNotNull(), F.struct("__day", tie))).over(before) for n in blocks}
+    return df.withColumns(was).select(*own, *out)
 
 
 def loo_mean(df: DataFrame, group: str, col: str, out: str) -> DataFrame:

@@ -96,7 +96,7 @@ b AS (SELECT entity_id, day, sum(s) OVER w AS s, sum(c) OVER w AS c FROM m WINDO
 SELECT entity_id, day, round(coalesce(s, 0) / (coalesce(c, 0) + 5), 6) + 0e0 AS support_career FROM b""",
     "rank_percentile": """SELECT contest_id, entity_id, round(CASE WHEN count(*) OVER (PARTITION BY contest_id) > 1 THEN 1 - cast(popularity_started - 1 AS double) / (count(*) OVER (PARTITION BY contest_id) - 1) END, 6) AS pct
 FROM (SELECT *, rank() OVER (PARTITION BY contest_id ORDER BY odds) AS popularity_started FROM runs) x""",
-    "expectation_residual": "SELECT contest_id, entity_id, round(won - q, 6) AS win_residual, round(1 - cast(finish_order - 1 AS double) / n - q, 6) AS finish_residual FROM market",
+    "expectation_residual": "SELECT contest_id, entity_id, round(won - q, 9) AS win_residual, round(1 - cast(finish_order - 1 AS double) / n - q, 9) AS finish_residual FROM market",
     "conditioned_shrunk": """WITH d AS (SELECT entity_id, class, day, sum(won) AS s, count(*) AS n FROM runs GROUP BY entity_id, class, day),
 c AS (SELECT entity_id, class, day, sum(s) OVER w AS s, sum(n) OVER w AS n FROM d WINDOW w AS (PARTITION BY entity_id, class ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT contest_id, runs.entity_id, round((coalesce(c.s, 0) + 5 * coalesce(cast(wins_before AS double) / nullif(starts_before, 0), 0)) / (coalesce(c.n, 0) + 5), 6) AS shrunk

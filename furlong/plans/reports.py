@@ -126,7 +126,7 @@ SELECT x.contest_id, entity_id, round(least(8e-2, greatest(0e0, x - coalesce(tau
     "bankroll_by_year": """WITH b AS (SELECT year(day) AS y, contest_id, sum(2e-2 * (won * odds - 1)) AS r FROM market WHERE popularity = 1 GROUP BY year(day), contest_id),
 c AS (SELECT y, sum(ln(1 + r)) OVER (PARTITION BY y ORDER BY contest_id) AS path FROM b WHERE r > -1) SELECT y, cast(count(*) AS bigint) AS bets, round(min(path), 5) + 0e0 AS lowest_log, round(max(path), 5) + 0e0 AS highest_log FROM c GROUP BY y""",
     "pool_marginal": f"""WITH g AS (SELECT a.contest_id, a.entity_id AS f, b.entity_id AS s, a.q * b.q / (1 - a.q) AS inv FROM {PAIR}), m AS (SELECT contest_id, f AS entity_id, sum(inv) AS w FROM g GROUP BY contest_id, f)
-SELECT contest_id, entity_id, round(w / sum(w) OVER (PARTITION BY contest_id), 6) AS share FROM m""",
+SELECT contest_id, entity_id, round(w / sum(w) OVER (PARTITION BY contest_id), 9) AS share FROM m""",
     "contest_weights": """WITH e AS (SELECT contest_id, 1 / (1 + exp(-10 * max(p - q))) AS w FROM market GROUP BY contest_id), m AS (SELECT avg(w) AS mean_w FROM e) SELECT contest_id, round(w / mean_w, 6) AS weight FROM e CROSS JOIN m""",
     "favourite_return": "SELECT contest_id, max(n) AS n, max(odds) AS odds, CASE WHEN sum(w.won) = 0 THEN 0 ELSE max(w.odds) END AS dividend FROM (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY odds, entity_id) AS k FROM market) w WHERE k = 1 GROUP BY contest_id",
     "training_matrix": """SELECT contest_id, runs.entity_id, won, coalesce(4 - least(finish_order, 4), 0) AS grade, odds, cast(starts_before AS bigint) AS starts_before, round(weight - avg(weight) OVER (PARTITION BY contest_id), 6) AS weight_rel

@@ -27,24 +27,26 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     from .operators import asof
-    from .plans import features, markets, reports
+    from .plans import blocks, features, markets, reports, scores
     from .sources import loads
-    from .sources.panel import panel, run, with_parts
+    from .sources.panel import run, runs, with_parts
     from .streaming import quotes
 
     for name, body in {**features.SQL, **markets.SQL, **reports.SQL}.items():
         spark_body = body.replace("datediff('day', ", "datediff(DAY, ").replace("varchar(9)", "string").replace(" // ", " div ").replace("json_extract_string(", "get_json_object(")
         register(name, lambda s, d, b=spark_body: run(s, d, b), with_parts(body))
 
+    # DataFrame jobs; their oracles are the SQL of the same name above, or their own
+    for module in (blocks, scores):
+        for name, query in module.QUERIES.items():
+            register(name, query, with_parts(module.SQL[name]) if name in module.SQL else _oracles[name])
+
     for module in (loads, quotes):
         for name, query in module.QUERIES.items():
             register(name, query, module.ORACLE_SQL[name])
 
     from pyspark.sql import functions as F
 
-    def runs(s: SparkSession, d: str) -> DataFrame:
-        return panel(s, d).filter("started = 1")
-
     def win_rate(s: SparkSession, d: str) -> DataFrame:
         r = runs(s, d).select("contest_id", "entity_id", "day", "won")
         b = asof.daily_before(r, ["entity_id"], "day", {"starts": F.lit(1), "wins": F.col("won")})

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..streaming.quotes import work_dir
 from .panel import panel, with_parts
+from .places import work_dir
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:

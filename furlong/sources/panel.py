@@ -5,9 +5,12 @@ contest = order, day = order date, entity = part, agent = supplier; lines of one
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .places import work_dir
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: Subqueries by name; each may use tables and the subqueries before it.
@@ -41,21 +44,68 @@ def with_parts(body: str, tables: dict[str, str] | None = None) -> str:
     """``body`` behind the subqueries it needs, and behind those of ``tables`` (name to what it reads)."""
     need, text = [], body
     for name in reversed(PARTS):
-        if re.search(rf"\b{name}\b", text):
+        if not (tables and name in tables) and re.search(rf"\b{name}\b", text):
             need.insert(0, f"{name} AS ({PARTS[name]})")
             text += PARTS[name]
     if tables:
         need = [f"{t} AS (SELECT * FROM {src})" for t, src in tables.items() if re.search(rf"\b{t}\b", text)] + need
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join([*need, body[15:]])
     if body.upper().startswith("WITH "):
         return ("WITH " + ", ".join(need) + ", " + body[5:]) if need else body
     return ("WITH " + ", ".join(need) + "\n" + body) if need else body
 
 
 def run(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
-    """The query as a DataFrame; Catalyst inlines the subqueries, so only the columns it needs are read."""
-    return spark.sql(with_parts(body, {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
+    """The query as a DataFrame, over the stored panel; Catalyst inlines the subqueries, so only needed columns are read."""
+    tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
+    names = [n for n in STORED if re.search(rf"\b{n}\b", _expanded(body, STORED))]
+    return spark.sql(with_parts(body, tables | {n: stored(spark, sf_dir, n) for n in names}))
+
+
+#: Parts that are written once for each session and input, by contest.
+STORED = ("panel", "market")
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def _expanded(body: str, stop: tuple[str, ...]) -> str:
+    """``body`` and the parts it needs, down to those of ``stop``."""
+    text = body
+    for name in reversed(PARTS):
+        if name not in stop and re.search(rf"\b{name}\b", text):
+            text += PARTS[name]
+    return text
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Name of a table with a part of the panel, bucketed and sorted by contest: written at its first use in a session, so
+    that windows and joins by contest need no exchange, and no query repeats the joins and ranks behind it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    at = _written.get(key)
+    if at is None or not spark.catalog.tableExists(at) or not _there(spark, at):
+        at = f"furlong_{name}_{uuid.uuid4().hex}"
+        tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
+        if name != "panel":
+            tables["panel"] = stored(spark, sf_dir, "panel")
+        df, n = spark.sql(with_parts(f"SELECT * FROM {name}", tables)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(n, "contest_id").write.bucketBy(n, "contest_id").sortBy("contest_id").option("path", work_dir(spark)).saveAsTable(at)
+        _written[key] = at
+    return at
+
+
+def _there(spark: SparkSession, name: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Location'").first()["data_type"])
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, "SELECT * FROM panel")
+    return spark.table(stored(spark, sf_dir, "panel"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel(spark, sf_dir).filter("started = 1")
+
+
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.table(stored(spark, sf_dir, "market"))

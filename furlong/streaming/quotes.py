@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder in the shared folder of the session; below the warehouse only where that is unset (tests)."""
-    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/furlong-stream-{uuid.uuid4().hex}"
+from ..sources.places import work_dir
 
 
 def keyed_state(stream: DataFrame, keys: list[str], value: Column, order: Column, path: str) -> DataFrame:
