@@ -12,7 +12,7 @@ PRIME, ROUND_KEYS = 2147483647, (716414059, 1299709327, 387276917, 1640531527)
 
 
 def draw_counts(spark: SparkSession, units: int, reps: int) -> DataFrame:
-    """(rep, k, times): for each replicate, how often each of the units 0 .. units - 1 is drawn, with replacement; units
+    """(rep, __k, times): for each replicate, how often each of the units 0 .. units - 1 is drawn, with replacement; units
     that are not drawn have no row. The draws are dealt over the tasks."""
     parts = max(1, min(reps * units // 200_000, 4096))
     df = spark.range(0, reps * units, 1, parts).select(F.expr(f"id div {units}").alias("rep"), (F.col("id") % units).alias("z"))
@@ -20,13 +20,14 @@ def draw_counts(spark: SparkSession, units: int, reps: int) -> DataFrame:
         z = (F.col("z") + (F.col("rep") + 1) * (48271 + 2 * j) + key) % PRIME
         df = df.withColumn("z", z).withColumn("z2", F.col("z") * F.col("z") % PRIME)
         df = df.withColumn("z", F.col("z2") * F.col("z2") % PRIME * F.col("z") % PRIME)
-    return df.groupBy("rep", (F.col("z") % units).alias("k")).agg(F.count("*").alias("times"))
+    # known not to be null: a join would else test the whole expression for it again
+    return df.groupBy("rep", F.coalesce(F.col("z") % units, F.lit(0)).alias("__k")).agg(F.count("*").alias("times"))
 
 
 def numbered(sums: DataFrame, unit: str, within: list[str] | None = None) -> DataFrame:
-    """``sums`` with k, the place (from 0) of its unit among all units in order. Units are calendar days or blocks of them,
+    """``sums`` with __k, the place (from 0) of its unit among all units in order. Units are calendar days or blocks of them,
     so there are some hundreds a year however many rows stand behind them."""
-    order = sums.select(unit).distinct().withColumn("k", F.row_number().over(Window.orderBy(unit)) - 1)
+    order = sums.select(unit).distinct().withColumn("__k", F.row_number().over(Window.orderBy(unit)) - 1)
     return sums.join(F.broadcast(order), unit)
 
 
@@ -34,11 +35,11 @@ def replicates(sums: DataFrame, unit: str, stats: dict[str, Column], reps: int =
     """(rep, by, statistics): each replicate draws as many units as there are, and the statistics, aggregates over the sums'
     columns and ``times``, are computed from the drawn units' sums."""
     rows = numbered(sums, unit)
-    units = rows.agg(F.max("k")).first()[0]
+    units = rows.agg(F.max("__k")).first()[0]
     if units is None:
         units, reps = 0, 0  # an empty table has no replicates
     counts = draw_counts(sums.sparkSession, units + 1, reps)
-    return counts.join(rows, "k").groupBy("rep", *(by or [])).agg(*[c.alias(n) for n, c in stats.items()])
+    return counts.join(rows, "__k").groupBy("rep", *(by or [])).agg(*[c.alias(n) for n, c in stats.items()])
 
 
 def interval(reps: DataFrame, value: str, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
