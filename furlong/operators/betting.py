@@ -26,15 +26,15 @@ def outcomes(entries: DataFrame, contest: str, entity: str, order: str, started:
     up to it is held by one entry; who placed (null on a dead heat across the last paying place); and who did not start."""
     from .joint import place_depth
 
-    at = lambda k: F.collect_list(F.when(F.col(order) == k, F.col(entity)))
-    o = entries.groupBy(contest).agg(F.sum(started).alias("n"), at(1).alias("a"), at(2).alias("b"), at(3).alias("c"), F.collect_set(F.when(F.col(started) == 0, F.col(entity))).alias("voided"))
-    clear = {1: F.size("a") == 1}
-    clear[2] = clear[1] & (F.size("b") == 1)
-    clear[3] = clear[2] & (F.size("c") == 1)
+    at = lambda k: F.collect_list(F.when(F.col(order) == k, F.col(entity))).alias(f"__{k}")
+    o = entries.groupBy(contest).agg(F.sum(started).alias("n"), at(1), at(2), at(3), F.collect_set(F.when(F.col(started) == 0, F.col(entity))).alias("voided"))
+    clear = {1: F.size("__1") == 1}
+    clear[2] = clear[1] & (F.size("__2") == 1)
+    clear[3] = clear[2] & (F.size("__3") == 1)
     depth = place_depth(F.col("n"))
-    upto = F.when(depth == 3, F.concat("a", "b", "c")).when(depth == 2, F.concat("a", "b"))
-    tops = [F.when(clear[k], F.concat(*list("abc")[:k])).alias(f"top{k}") for k in (1, 2, 3)]
-    return o.select(contest, "n", depth.alias("depth"), *tops, F.when(F.size(upto) == depth, upto).alias("placed"), upto.alias("maybe_placed"), "voided", F.size("a").alias("winners"), F.col("a").alias("firsts"))
+    upto = F.when(depth == 3, F.concat("__1", "__2", "__3")).when(depth == 2, F.concat("__1", "__2"))
+    tops = [F.when(clear[k], F.concat(*["__1", "__2", "__3"][:k])).alias(f"top{k}") for k in (1, 2, 3)]
+    return o.select(contest, "n", depth.alias("depth"), *tops, F.when(F.size(upto) == depth, upto).alias("placed"), upto.alias("maybe_placed"), "voided", F.size("__1").alias("winners"), F.col("__1").alias("firsts"))
 
 
 def settle(bets: DataFrame, results: DataFrame, contest: str) -> DataFrame:

@@ -11,7 +11,8 @@ Powers = tuple[float, float]
 
 
 def normalise_clip(field: DataFrame, contest: str, p: str, out: str, eps: float = 1e-6) -> DataFrame:
-    """p divided by its contest's sum, kept within eps and 1 - eps, and divided again."""
+    """p divided by its contest's sum, kept within eps and 1 - eps, and divided again. A contest whose p sum to 0 gets equal
+    shares."""
     w = Window.partitionBy(contest)
     once = field.withColumn(out, F.try_divide(F.col(p), F.sum(p).over(w)))
     once = once.withColumn(out, F.least(F.greatest(F.col(out), F.lit(eps)), F.lit(1 - eps)))

@@ -256,21 +256,21 @@ def oof_predictions(s: SparkSession, d: str) -> DataFrame:
 
 
 def softmax_fit(s: SparkSession, d: str) -> DataFrame:
-    """Weights of ln p-like and weight features in the contest softmax, fitted before 1996 and scored from then on."""
+    """Weights of ln p-like and weight features in the contest softmax, fitted before 1998 and scored from then on."""
     rows = samples(s, d).withColumns({"f1": F.ln("q"), "f2": F.col("weight") / 100})
-    theta = fits.fit_softmax(rows.filter("year(day) < 1996"), "contest_id", "won", ["f1", "f2"])
-    new = fits.softmax_shares(rows.filter("year(day) >= 1996"), "contest_id", ["f1", "f2"], theta, "r").filter("won = 1")
+    theta = fits.fit_softmax(rows.filter("year(day) < 1998"), "contest_id", "won", ["f1", "f2"])
+    new = fits.softmax_shares(rows.filter("year(day) >= 1998"), "contest_id", ["f1", "f2"], theta, "r").filter("won = 1")
     return new.agg(F.lit(round(float(theta[0]), 6)).alias("alpha"), F.lit(round(float(theta[1]), 6)).alias("beta"), F.count("*").alias("contests"), F.round(F.avg(-F.ln("r")), 6).alias("nll"), F.round(F.avg(-F.ln("q")), 6).alias("nll_market"),
                    F.round(1 - F.avg(-F.ln("r")) / F.avg(F.ln("n")), 6).alias("r2"), F.round(F.avg(F.ln("r") - F.ln("q")) / F.avg(F.ln("n")), 6).alias("delta_r2"))
 
 
 def platt_fit(s: SparkSession, d: str) -> DataFrame:
     m = market(s, d).filter("n > 1")
-    a, b = fits.fit_platt(m.filter("year(day) < 1996"), "p", "won")
+    a, b = fits.fit_platt(m.filter("year(day) < 1998"), "p", "won")
     z = 1 / (1 + F.exp(-(F.ln(F.col("p") / (1 - F.col("p"))) * a + b)))
     y = F.col("won")
     loss = lambda c: F.round(-F.avg(y * F.ln(c) + (1 - y) * F.ln(1 - c)), 6)
-    return m.filter("year(day) >= 1996").agg(F.lit(round(a, 5)).alias("slope"), F.lit(round(b, 5)).alias("shift"), loss(z).alias("loss_after"), loss(F.col("p")).alias("loss_before"))
+    return m.filter("year(day) >= 1998").agg(F.lit(round(a, 5)).alias("slope"), F.lit(round(b, 5)).alias("shift"), loss(z).alias("loss_after"), loss(F.col("p")).alias("loss_before"))
 
 
 def isotonic_fit(s: SparkSession, d: str) -> DataFrame:
@@ -278,9 +278,9 @@ def isotonic_fit(s: SparkSession, d: str) -> DataFrame:
 
 
 def market_calibration(s: SparkSession, d: str) -> DataFrame:
-    """q' = q**0.9, renormalised, with how many shares of each year lie outside the range of the years before 1995."""
+    """q' = q**0.9, renormalised, with how many shares of each year lie outside the range of the years before 1998."""
     m = market(s, d)
-    span = m.filter("year(day) < 1995").agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
+    span = m.filter("year(day) < 1998").agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
     x = m.withColumn("x", F.pow("q", F.lit(0.9))).withColumn("qq", F.col("x") / F.sum("x").over(Window.partitionBy("contest_id"))).crossJoin(F.broadcast(span))
     y = F.col("won")
     brier = lambda c: F.round(F.avg((F.col(c) - y) * (F.col(c) - y)), 6)
@@ -377,20 +377,20 @@ def _newton_softmax() -> str:
     """Newton steps for two features as a chain of CTEs."""
     ctes = [ONE, "x AS (SELECT contest_id, won, n, q, year(day) AS y, ln(q) AS f1, weight / 100 AS f2 FROM sm)", "t0 AS (SELECT 0e0 AS a, 0e0 AS b)"]
     for k in range(8):
-        ctes.append(f"u{k} AS (SELECT contest_id, won, f1, f2, exp(a * f1 + b * f2) AS e FROM x, t{k} WHERE y < 1996)")
+        ctes.append(f"u{k} AS (SELECT contest_id, won, f1, f2, exp(a * f1 + b * f2) AS e FROM x, t{k} WHERE y < 1998)")
         ctes.append(f"v{k} AS (SELECT contest_id, sum(e * f1) / sum(e) AS m1, sum(e * f2) / sum(e) AS m2, sum(e * f1 * f1) / sum(e) AS c11, sum(e * f1 * f2) / sum(e) AS c12, sum(e * f2 * f2) / sum(e) AS c22, sum(won * f1) AS w1, sum(won * f2) AS w2 FROM u{k} GROUP BY contest_id)")
         ctes.append(f"h{k} AS (SELECT sum(w1 - m1) AS g1, sum(w2 - m2) AS g2, sum(c11 - m1 * m1) AS h11, sum(c12 - m1 * m2) AS h12, sum(c22 - m2 * m2) AS h22 FROM v{k})")
         ctes.append(f"t{k + 1} AS (SELECT a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS a, b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b FROM t{k}, h{k})")
-    return f"""WITH {', '.join(ctes)}, s AS (SELECT won, n, q, a, b, exp(a * f1 + b * f2) / sum(exp(a * f1 + b * f2)) OVER (PARTITION BY contest_id) AS r FROM x, t8 WHERE y >= 1996)
+    return f"""WITH {', '.join(ctes)}, s AS (SELECT won, n, q, a, b, exp(a * f1 + b * f2) / sum(exp(a * f1 + b * f2)) OVER (PARTITION BY contest_id) AS r FROM x, t8 WHERE y >= 1998)
 SELECT round(max(a), 6) AS alpha, round(max(b), 6) AS beta, cast(count(*) AS bigint) AS contests, round(avg(-ln(r)), 6) AS nll, round(avg(-ln(q)), 6) AS nll_market, round(1 - avg(-ln(r)) / avg(ln(n)), 6) AS r2, round(avg(ln(r) - ln(q)) / avg(ln(n)), 6) AS delta_r2 FROM s WHERE won = 1"""
 
 
 def _newton_platt() -> str:
     ctes = ["z AS (SELECT year(day) AS y, cast(won AS double) AS w, p, ln(p / (1 - p)) AS l FROM market WHERE n > 1)", "t0 AS (SELECT 1e0 AS a, 0e0 AS b)"]
     for k in range(8):
-        ctes.append(f"g{k} AS (SELECT sum((w - s) * l) AS ga, sum(w - s) AS gb, sum(s * (1 - s) * l * l) AS haa, sum(s * (1 - s) * l) AS hab, sum(s * (1 - s)) AS hbb FROM (SELECT w, l, 1 / (1 + exp(-(l * a + b))) AS s FROM z, t{k} WHERE y < 1996) i)")
+        ctes.append(f"g{k} AS (SELECT sum((w - s) * l) AS ga, sum(w - s) AS gb, sum(s * (1 - s) * l * l) AS haa, sum(s * (1 - s) * l) AS hab, sum(s * (1 - s)) AS hbb FROM (SELECT w, l, 1 / (1 + exp(-(l * a + b))) AS s FROM z, t{k} WHERE y < 1998) i)")
         ctes.append(f"t{k + 1} AS (SELECT a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM t{k}, g{k})")
-    return f"WITH {', '.join(ctes)} SELECT round(max(a), 5) AS slope, round(max(b), 5) AS shift, round(-avg(w * ln(s) + (1 - w) * ln(1 - s)), 6) AS loss_after, round(-avg(w * ln(p) + (1 - w) * ln(1 - p)), 6) AS loss_before FROM (SELECT w, p, a, b, 1 / (1 + exp(-(l * a + b))) AS s FROM z, t8 WHERE y >= 1996) f"
+    return f"WITH {', '.join(ctes)} SELECT round(max(a), 5) AS slope, round(max(b), 5) AS shift, round(-avg(w * ln(s) + (1 - w) * ln(1 - s)), 6) AS loss_after, round(-avg(w * ln(p) + (1 - w) * ln(1 - p)), 6) AS loss_before FROM (SELECT w, p, a, b, 1 / (1 + exp(-(l * a + b))) AS s FROM z, t8 WHERE y >= 1998) f"
 
 
 _PREQ = f"""{ONE}, g AS (SELECT round(5e-1 + 25e-3 * i, 3) AS g FROM (SELECT unnest(range(0, 41)) AS i) r), l AS (SELECT g, y, count(*) AS n, sum(ln(t) - ln(w)) AS nll FROM (SELECT g, year(day) AS y, contest_id, sum(power(q, g)) AS t, max(CASE WHEN won = 1 THEN power(q, g) END) AS w FROM sm CROSS JOIN g GROUP BY g, year(day), contest_id) a GROUP BY g, y),
@@ -440,7 +440,7 @@ SELECT y AS eval_year, gamma, cast(count(*) AS bigint) AS contests, round(avg(ln
     "softmax_fit": _newton_softmax(), "platt_fit": _newton_platt(),
     "isotonic_fit": """WITH s AS (SELECT round(p, 1) AS x, count(*) AS n, sum(won) AS h FROM market GROUP BY round(p, 1)), b AS (SELECT i.x AS lo, j.x AS hi, sum(s.h) / sum(s.n) AS v FROM s i JOIN s j ON i.x <= j.x JOIN s ON s.x BETWEEN i.x AND j.x GROUP BY i.x, j.x)
 SELECT s.x, cast(s.n AS bigint) AS n, round((SELECT max(m) FROM (SELECT lo, min(v) AS m FROM b WHERE lo <= s.x AND hi >= s.x GROUP BY lo) k), 6) AS fitted FROM s""",
-    "market_calibration": """WITH r AS (SELECT min(q) AS lo, max(q) AS hi FROM market WHERE year(day) < 1995), c AS (SELECT m.*, power(q, 0.9) / (SELECT sum(power(q, 0.9)) FROM market i WHERE i.contest_id = m.contest_id) AS qq FROM market m)
+    "market_calibration": """WITH r AS (SELECT min(q) AS lo, max(q) AS hi FROM market WHERE year(day) < 1998), c AS (SELECT m.*, power(q, 0.9) / (SELECT sum(power(q, 0.9)) FROM market i WHERE i.contest_id = m.contest_id) AS qq FROM market m)
 SELECT year(day) AS y, cast(count(*) AS bigint) AS n, cast(count(CASE WHEN q < lo OR q > hi THEN 1 END) AS bigint) AS outside, round(avg((q - won) * (q - won)), 6) AS brier_q, round(avg((qq - won) * (qq - won)), 6) AS brier_corrected FROM c, r GROUP BY year(day)""",
     "segment_accuracy": f"""WITH {_LL}, {_boot(f'SELECT axis, segment, day, sum(g) AS g, sum(h) AS h, sum(g - h) AS s, count(*) AS n FROM ({_SEG}) a GROUP BY axis, segment, day', 200, 'day', 'axis, segment')},
 ci AS (SELECT axis, segment, percentile_cont(0.025) WITHIN GROUP (ORDER BY v) AS lo, percentile_cont(0.975) WITHIN GROUP (ORDER BY v) AS hi FROM r GROUP BY axis, segment), t AS (SELECT axis, segment, sum(n) AS n, sum(g) / sum(n) AS lp, sum(h) / sum(n) AS lq FROM u GROUP BY axis, segment)
