@@ -43,9 +43,9 @@ class Encoder:
     at white space. Arrow finds the distinct pieces of a batch; the new ones are encoded as one text, and the lengths of
     the ids' tokens tell whose they are. A text that holds an added token's content goes to the library whole; where the
     library looks for a content in normalized text, so does this class. The cache is emptied when it holds ``most``
-    pieces."""
+    pieces (some 100 MB), as worker processes keep it into the stages that follow."""
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 1_000_000):
+    def __init__(self, path: str, keeps_space: bool, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
@@ -218,6 +218,7 @@ def encoded(coder: Encoder, col: pa.Array, end: int, most: int = 8 << 20) -> Ite
             yield lo, ids, np.array([0, len(ids)])
         else:
             yield lo, *coder(col.slice(lo, hi - lo), end)
+        pa.default_memory_pool().release_unused()  # the worker process lives on into other stages
         lo = hi
 
 
