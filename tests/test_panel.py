@@ -43,7 +43,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["asof_win_rate", "asof_previous_result", "field_percent_rank", "recent_form_3", "joint_exacta", "auc", "roi_by_year_band", "expectations", "support_reductions", "rank_robust", "capped_allocation", "candidate_pairs", "top_k_hits", "stage_discount_fit", "delimited_audit", "payload_odds", "latest_quotes_stream", "first_snapshot_stream"])
+@pytest.mark.parametrize("name", ["asof_win_rate", "asof_previous_result", "field_percent_rank", "recent_form_3", "joint_exacta", "auc", "roi_by_year_band", "expectations", "support_reductions", "rank_robust", "capped_allocation", "candidate_pairs", "top_k_hits", "stage_discount_fit", "delimited_audit", "payload_odds", "latest_quotes_stream", "first_snapshot_stream", "asof_matrix", "asof_matrix_projected", "class_change", "speed_figure", "joint_marginals", "joint_wide", "served_predictions", "ece_equal_mass", "drawdown_by_year", "expanding_folds", "settlement_all", "returns_by_type", "exotic_backtest", "two_gamma_fit", "softmax_fit", "year_file", "rekey_facts", "store_roundtrip", "joint_calibration", "bet_log"])
 def test_oracle(spark, duck, name):
     got = registry.queries()[name](spark, SF).toPandas()
     want = duck.sql(registry.oracle_sql()[name]).df()
@@ -88,14 +88,6 @@ def test_payload(spark):
     assert {(r.c, r.e): r.odds for r in loads.parse_payload(rows, "payload", "e", "odds").collect()} == {(1, "7"): 2.5, (1, "8"): None}
 
 
-def test_exacta_of_three(spark):
-    p = {"A": 0.5, "B": 0.3, "C": 0.2}
-    df = spark.createDataFrame(list(p.items()), "e string, p double")
-    both = df.alias("a").join(df.alias("b"), F.expr("a.e <> b.e")).selectExpr("a.e || b.e AS k", "a.p * b.p / (1 - a.p) AS x")
-    got = {r.k: r.x for r in both.collect()}
-    assert math.isclose(got["AB"], 0.3) and math.isclose(got["BA"], 3 / 14) and math.isclose(got["CB"], 0.075)
-
-
 def test_bootstrap_resamples_days(spark, duck):
     n = 1084
     duck.sql(f"CREATE OR REPLACE TEMP TABLE i AS SELECT range AS k, {n} AS days FROM range({n})")
