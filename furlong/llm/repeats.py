@@ -12,7 +12,9 @@ The search is one chain of Spark jobs over any sequence of symbols (words or byt
    ids, documents first run through a suffix automaton of all earlier ones, whose matching statistics give the spans of
    at least W symbols, and are then added to it. A shard has at most PART_CONTENTS contents.
 4. Where the first copy goes too, and for anchors with more contents, window hashes are sent instead, dealt by anchor and
-   window hash, and equal (anchor, window) pairs are found by sorting.
+   window hash, and equal (anchor, window) pairs are found by sorting. The holders of a window whose anchor has more than
+   DEALT_CONTENTS contents are dealt over several tasks; what a task cannot settle alone, the smallest id of each window,
+   is matched in a second step, so that no passage however common gathers its holders in one task.
 
 A whole document never runs through a shard that cannot hold a window of it, which is what keeps automata affordable: the
 shards grow with the corpus, and broadcasting all of them to all documents costs its square. Both hashes have 64 bits and
@@ -33,8 +35,9 @@ from .automata import SuffixAutomaton
 from .vec import BYTE_VALUES, Rolling, blobs, expand, mix, owners, signed, text_slices, word_bounds, word_hashes
 from .work import broadcast_if, discard, materialize
 
-#: About as many window hashes go to one task of step 3, and contents of an anchor to one part of it.
-TASK_WINDOWS, PART_CONTENTS = 2_000_000, 32
+#: About as many window hashes go to one task of step 3, contents of an anchor to one part of it, and holders of one window
+#: to one task before they are dealt over several.
+TASK_WINDOWS, PART_CONTENTS, DEALT_CONTENTS = 2_000_000, 32, 1024
 
 
 def shard_spans(ids: np.ndarray, parts: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int]]:
@@ -65,6 +68,26 @@ def shard_spans(ids: np.ndarray, parts: list[np.ndarray], window: int) -> Iterat
 #: What step 3 sends: symbols of whole runs with their numbers n, or (n null) hashes of single windows.
 SENT = ["route", "symbols", "anchor", "ids", "th", "start", "n"]
 SENT_SCHEMA = pa.schema([("route", pa.int64()), *((c, pa.binary()) for c in SENT[1:])])
+SENT_DDL = "route long, symbols binary, anchor binary, ids binary, th binary, start binary, n binary"
+#: What a task of step 4 gives: spans of a text, or (doc_id null) windows for the second step. A route below 0 is that of
+#: windows dealt over several tasks.
+FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("spans", pa.binary()), *((f"to_{f.name}", f.type) for f in SENT_SCHEMA)])
+FOUND_DDL = "doc_id long, th long, spans binary, " + ", ".join(f"to_{c}" for c in SENT_DDL.split(", "))
+
+
+def by_route(route: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
+    """Single windows (h, anchor, ids, th, start), one row for each route."""
+    order = np.argsort(route, kind="stable")
+    s = route[order]
+    cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+    out = [pa.array(s[cut]), *(blobs(x[order], np.append(cut, len(s))) for x in cols), pa.nulls(len(cut), pa.binary())]
+    return pa.RecordBatch.from_arrays(out, schema=SENT_SCHEMA)
+
+
+def padded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of some columns of FOUND_SCHEMA with nulls in the others."""
+    own = dict(zip(batch.schema.names, batch.columns, strict=True))
+    return pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(batch.num_rows, f.type)) for f in FOUND_SCHEMA], schema=FOUND_SCHEMA)
 
 
 def symbols(data: np.ndarray, offs: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -189,24 +212,20 @@ def find_repeats(
                 pos = start + at[doc][run]
                 h = mix(roll.slices(pos, pos + window), 13)
                 anchor = field["anchor"][r][run].view(np.uint64)
+                row = lo + doc[run]
                 parts = -(-field["n_contents"][r] // PART_CONTENTS)[run].astype(np.uint64)
-                key = mix(anchor + (h >> np.uint64(20)) % parts, 17)
+                salts = -(-field["n_contents"][r] // DEALT_CONTENTS)[run].astype(np.uint64)
+                salt = mix(th[row].view(np.uint64), 19) % salts
+                key = mix(anchor + (h >> np.uint64(20)) % parts + (salt << np.uint64(32)), 17)
                 # one row for each route of the batch, not for each run
                 route = (key >> np.uint64(40)).astype(np.int64)
-                order = np.argsort(route, kind="stable")
-                s = route[order]
-                cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-                edge = np.append(cut, len(s))
-                row = lo + doc[run][order]
-                cols = [pa.array(s[cut]), *(blobs(x, edge) for x in (h[order], anchor[order], ids[row], th[row], start[order].astype(np.int32)))]
-                cols.append(pa.nulls(len(cut), pa.binary()))  # single windows
-                if len(cut):
-                    yield pa.RecordBatch.from_arrays(cols, SENT)
+                if len(route):
+                    yield by_route(np.where(salts > 1, -1 - route, route), h, anchor, ids[row], th[row], start.astype(np.int32))
 
     def packed(ids: np.ndarray, th: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
         """Spans, sorted by (id, text), as a row for each text."""
         cut = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])))
-        return pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array(th[cut]), blobs(span.astype(np.int32), np.append(cut, len(ids)))], ["doc_id", "th", "spans"])
+        return padded(pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array(th[cut]), blobs(span.astype(np.int32), np.append(cut, len(ids)))], ["doc_id", "th", "spans"]))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(batches), SENT_SCHEMA)  # about TASK_WINDOWS hashes, or what as many windows cover
@@ -214,8 +233,10 @@ def find_repeats(
         if shards.num_rows:
             yield from match_shards(shards)
         windows = held.filter(pc.is_null(held.column("n")))
-        if windows.num_rows:
-            yield from match_windows(windows)
+        for dealt in (True, False):
+            own = windows.filter(pc.less(windows.column("route"), 0) if dealt else pc.greater_equal(windows.column("route"), 0))
+            if own.num_rows:
+                yield from match_windows(own, dealt)
 
     def joined(t: pa.Table, name: str, kind: type) -> np.ndarray:
         return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
@@ -234,7 +255,7 @@ def find_repeats(
             order = np.lexsort((th[where], ids[where]))
             yield packed(ids[where][order], th[where][order], spans[order])
 
-    def match_windows(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def match_windows(t: pa.Table, dealt: bool) -> Iterator[pa.RecordBatch]:
         h, anchor, ids, th, start = (joined(t, c, k) for c, k in zip(SENT[1:-1], (np.uint64, np.uint64, np.int64, np.int64, np.int32), strict=True))
         order = np.lexsort((ids, anchor, h))
         h, anchor, ids, th, start = h[order], anchor[order], ids[order], th[order], start[order]
@@ -242,6 +263,11 @@ def find_repeats(
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(h)))
         hit = np.repeat(ids[first], n) < ids if earlier_only else np.repeat(n > 1, n)
+        if dealt:  # other tasks may hold the same windows: the smallest id of each speaks for this one
+            left = np.flatnonzero(~hit) if earlier_only else first
+            route = (mix(anchor[left] + h[left], 17) % np.uint64(tasks)).astype(np.int64)  # the task: few, as each is a row
+            b = by_route(route, h[left], anchor[left], ids[left], th[left], start[left])
+            yield padded(b.rename_columns([f"to_{c}" for c in SENT]))
         ids, th, start = ids[hit], th[hit], start[hit]
         if not len(ids):
             return
@@ -252,9 +278,10 @@ def find_repeats(
         last = np.append(first[1:], len(ids)) - 1
         yield packed(ids[first], th[first], np.stack([start[first], start[last] + window], axis=1))
 
-    sent = "route long, symbols binary, anchor binary, ids binary, th binary, start binary, n binary"
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["windows"] or 0) // TASK_WINDOWS))
-    found = todo.mapInArrow(send, sent).repartition(tasks, "route").mapInArrow(match, "doc_id long, th long, spans binary")
+    once = materialize(todo.mapInArrow(send, SENT_DDL).repartition(tasks, "route").mapInArrow(match, FOUND_DDL))
+    again = once.filter("doc_id is null").select(*(F.col(f"to_{c}").alias(c) for c in SENT)).repartitionById(tasks, F.col("route").cast("int")).mapInArrow(match, FOUND_DDL)
+    found = once.filter("doc_id is not null").unionByName(again).select("doc_id", "th", "spans")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,6 +293,7 @@ def find_repeats(
     # the spans of one text are bounded by its length
     out = materialize(found.unionByName(sure).groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans")))
     discard(status)
+    discard(once)
     return out
 
 

@@ -201,10 +201,11 @@ def test_suffix_automaton():
         assert list(a.statistics(probe)) == want and len(a.next) <= 2 * max(sum(map(len, seqs)), 1)
 
 
-@pytest.mark.parametrize("contents", [0, 2, 1000])
-def test_shards_and_windows_agree(spark, monkeypatch, contents):
-    """Anchors of any number of contents, by automata or by windows, give what brute force gives."""
+@pytest.mark.parametrize(("contents", "dealt"), [(1, 1000), (1, 2), (2, 3), (1000, 1000)])
+def test_shards_and_windows_agree(spark, monkeypatch, contents, dealt):
+    """Anchors of any number of contents, by automata or by windows, dealt out or not, give what brute force gives."""
     monkeypatch.setattr(repeats, "PART_CONTENTS", contents)
+    monkeypatch.setattr(repeats, "DEALT_CONTENTS", dealt)
     base, texts = prose(90).split(), []
     for i in range(30):
         w = [*prose(int(rng.integers(0, 60))).split(), *base[int(rng.integers(0, 30)) : int(rng.integers(60, 91))], *prose(int(rng.integers(0, 60))).split()]
@@ -252,6 +253,21 @@ def test_repeats(docs, none, unit, window, k):
     assert repeats.remove_repeats(none, unit=unit, window=window, k=k, earlier_only=True).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["word", "byte"])
+def test_common_passage_in_many_tasks(spark, monkeypatch, unit):
+    """One passage between different words in many documents, its holders dealt over several tasks, twice in some."""
+    monkeypatch.setattr(repeats, "PART_CONTENTS", 1)
+    monkeypatch.setattr(repeats, "DEALT_CONTENTS", 2)
+    window = 20 if unit == "word" else 60
+    common = prose(30)
+    texts = [" ".join([prose(int(rng.integers(1, 9))), common, prose(int(rng.integers(1, 9))), *([common] if i % 7 == 0 else [])]) for i in range(60)]
+    seqs = [t.split() if unit == "word" else list(t.encode()) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = by_id(repeats.remove_repeats(docs, unit=unit, window=window, k=4, earlier_only=unit == "word"))
+    keep = brute_repeats(seqs, window, unit == "word")
+    assert [got[i].n_removed for i in range(len(texts))] == [k.count(False) for k in keep]
+
+
 def test_near_duplicates(spark, none):
     base = prose(200).split()
     copies = []
@@ -279,6 +295,15 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(21)}, 40: 40, 50: 40}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars whose edges are joined by broadcast give the same components."""
+    monkeypatch.setattr(components, "HUB_EDGES", 3)
+    monkeypatch.setattr(components, "HUBS", 4)
+    links = [(500, i) for i in range(100, 160)] + [(7, i) for i in range(200, 240)] + [(7, 500), (900, 901), (901, 902), (600, 601)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 7 for i in (7, 500, *range(100, 160), *range(200, 240))}, 900: 900, 901: 900, 902: 900, 600: 600, 601: 600}
+
+
 def test_leaks(spark, docs, none):
     item = " ".join(LONG.split()[40:70])
     bench = spark.createDataFrame([(1, item), (2, prose(30)), (3, None), (4, "x")], "item_id long, text string")
