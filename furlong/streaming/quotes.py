@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..sources.places import work_dir
 
@@ -49,8 +49,29 @@ def first_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.col("state").alias("event_type"), (-F.col("at.i")).alias("event_id"))
 
 
-QUERIES = {"latest_quotes_stream": latest_quotes, "first_snapshot_stream": first_snapshots}
+def recent_success(rows: DataFrame, key: str, time: str, success: Column, freshness_us: int) -> DataFrame:
+    """``rows`` that are no success, with skipped: a success of the same key lies before them by ``freshness_us`` at most. Rows without a key or a time are never skipped.
+
+    Keys are split by time, so a hot key is not one task: a success goes to its own span of ``freshness_us`` and the next."""
+    t = F.unix_micros(F.col(time).cast("timestamp"))
+    done = F.coalesce(success, F.lit(False))
+    rows = rows.withColumns({"_at": t, "_done": done, "_span": F.floor(t / freshness_us)})
+    rows = rows.withColumn("_span", F.explode(F.when(F.col("_done"), F.array("_span", F.col("_span") + 1)).otherwise(F.array("_span"))))
+    before = Window.partitionBy(key, "_span").orderBy("_at").rangeBetween(-freshness_us, -1)
+    skipped = F.coalesce(F.max("_done").over(before), F.lit(False)) & F.col(key).isNotNull() & F.col("_at").isNotNull()
+    return rows.withColumn("skipped", skipped).filter("not _done").drop("_at", "_done", "_span")
+
+
+def fresh_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event but a purchase, skipped if its user has bought in the six hours before."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "event_type")
+    return recent_success(rows, "user_id", "ts", F.col("event_type") == "purchase", 6 * 3600 * 10**6).select("event_id", "user_id", "skipped")
+
+
+QUERIES = {"latest_quotes_stream": latest_quotes, "first_snapshot_stream": first_snapshots, "recent_success_dedup": fresh_requests}
 ORACLE_SQL = {
+    "recent_success_dedup": """SELECT event_id, user_id, EXISTS (SELECT 1 FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'purchase' AND s.ts < e.ts AND s.ts >= e.ts - INTERVAL 6 HOUR) AS skipped
+FROM events e WHERE event_type IS DISTINCT FROM 'purchase'""",
     "latest_quotes_stream": "SELECT user_id, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k = 1",
     "first_snapshot_stream": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) x WHERE k = 1",
 }

@@ -111,3 +111,12 @@ def test_bootstrap_interval(spark, duck):
     low, high = np.percentile(d.s.to_numpy()[pick].sum(axis=1) / d.n.to_numpy()[pick].sum(axis=1), [2.5, 97.5])
     assert (got.days, got.reps) == (len(d), 2000) and got.ci_low < got.mean_diff < got.ci_high
     assert abs(got.ci_low - low) < 0.1 * (high - low) and abs(got.ci_high - high) < 0.1 * (high - low)
+
+
+def test_recent_success(spark, duck):
+    got = {tuple(r) for r in quotes.fresh_requests(spark, SF).collect()}
+    assert got == set(duck.execute(quotes.ORACLE_SQL["recent_success_dedup"]).fetchall()) and {x[2] for x in got} == {True, False}
+    rows = spark.createDataFrame([(1, 0, True), (1, 5, False), (1, 10, False), (1, 11, False), (1, 0, False), (None, 5, False), (2, None, False)], "k int, s long, ok boolean")
+    rows = rows.withColumn("ts", F.timestamp_micros("s"))
+    out = quotes.recent_success(rows, "k", "ts", F.col("ok"), 10).select("k", "s", "skipped").collect()
+    assert {tuple(r) for r in out} == {(1, 5, True), (1, 10, True), (1, 11, False), (1, 0, False), (None, 5, False), (2, None, False)}
