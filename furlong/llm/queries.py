@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, licenses, minhash, packing, quality, repeats, secret_scan, shuffling, tokens
+from . import aliases, decontam, lexical, licenses, minhash, packing, quality, repeats, secret_scan, shuffling, tokens, whitening
 from .work import table
 
 N_SHARDS = 24
+#: Fixed values of the query.
+URL_RULES = [
+    aliases.Rule("com", "/", "allow"), aliases.Rule("example.com", "/en/", "block"), aliases.Rule("www.example.com", "/en/", "allow"),
+    aliases.Rule("net", "/es/", "block"), aliases.Rule("net", "/fr/", "block"),
+]
 
 
 def tokenizer_path(name: str) -> str:
@@ -75,11 +80,24 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_redirect_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aliases.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
+
+
+def op13_interval_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_planes, op2_quality_rules, op3_external_shuffle, op4_license_diagonals, op5_entropy_secrets, op6_repeated_passages,
         op7_sum_of_squares, op8_repeated_bytes, op9_bbit_minhash, op10_benchmark_containment,
+        op11_redirect_classes, op12_jacobi_whitening, op13_interval_search,
     )
 }
 
@@ -131,4 +149,30 @@ n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
 x AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs ON ds.g = bs.g GROUP BY doc_id, item_id)
 SELECT doc_id, x.item_id, n_shared, n_item, cast(n_shared AS double) / n_item AS containment
 FROM x JOIN n ON x.item_id = n.item_id WHERE 10 * n_shared >= 8 * n_item""",
+    "op11_redirect_classes": f"""
+WITH RECURSIVE rules(h, p, v) AS (VALUES {", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)}),
+links AS (SELECT url, unnest(list_concat(regexp_extract_all(html, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1),
+  regexp_extract_all(html, '(?i)<meta[^>]*http-equiv="refresh"[^>]*url=([^"]*)"', 1))) AS target FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+urls AS (SELECT DISTINCT url FROM pages UNION SELECT url FROM links UNION SELECT target FROM links),
+a AS (SELECT url, CASE WHEN url LIKE '%://%' THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM urls),
+b AS (SELECT url, {_LOW.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS query FROM a),
+c AS (SELECT *, list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')) AS args, regexp_replace(host, ':(80|443)$', '') AS name FROM b),
+d AS (SELECT *, CASE WHEN host <> '' THEN name || regexp_replace(path, '/+$', '') || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS address FROM c),
+f AS (SELECT d.url, max_by(h || p, len(h || p) * 1000 + len(h)) AS rule, max_by(v, len(h || p) * 1000 + len(h)) AS v FROM d JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY d.url),
+j AS (SELECT d.*, rule, v FROM d LEFT JOIN f ON d.url IS NOT DISTINCT FROM f.url),
+e AS (SELECT x.address AS x, y.address AS y FROM links JOIN j x ON links.url = x.url JOIN j y ON links.target = y.url),
+r AS (SELECT DISTINCT address AS x, address AS y FROM j WHERE address IS NOT NULL UNION SELECT r.x, q.y FROM r JOIN (SELECT x, y FROM e UNION SELECT y, x FROM e) q ON r.y = q.x),
+k AS (SELECT r.x AS address, bool_or(v = 'block') AND NOT bool_or(v = 'allow') AS blocked FROM r JOIN j ON r.y = j.address WHERE v IS NOT NULL GROUP BY r.x)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN v IS NOT NULL THEN 'rule' WHEN blocked THEN 'alias' ELSE 'none' END AS via
+FROM pages JOIN j ON pages.url IS NOT DISTINCT FROM j.url LEFT JOIN k ON j.address = k.address""",
+    "op13_interval_search": f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{lexical.TERM}')) AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{lexical.TERM}')) AS w FROM benchmark),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), g AS (SELECT count(*) AS docs, cast(sum(n) AS bigint) AS terms FROM n),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM t SEMI JOIN i ON t.w = i.w GROUP BY doc_id, w),
+df AS (SELECT w, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS bigint) AS weight FROM tf, g GROUP BY w),
+s AS (SELECT item_id, tf.doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS bigint) AS score
+  FROM i JOIN tf ON i.w = tf.w JOIN df ON df.w = tf.w JOIN n ON n.doc_id = tf.doc_id, g GROUP BY item_id, tf.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, cast(rank AS integer) AS rank, doc_id, score FROM r WHERE rank <= 10""",
 }
