@@ -145,7 +145,7 @@ def filter_urls(
     votes = decided.filter("ruling is not null and address is not null").groupBy("address").agg(says("allow"), says("block"))
     votes = votes.join(classes.withColumnRenamed("node", "address"), "address", "left").withColumn("class", F.coalesce("component", "address"))
     blocked = votes.groupBy("class").agg(F.max("allow").alias("allow"), F.max("block").alias("block")).filter("block and not allow").select("class")
-    blocked = materialize(blocked)
+    blocked = materialize(blocked).hint("merge")  # it grows with the urls: never broadcast, however well its files are packed
     members = classes.join(blocked.withColumnRenamed("class", "component"), "component", "left_semi").select(F.col("node").alias("address"))
     need = own.filter("ruling is null and address is not null").select("address").distinct()
     hit = materialize(need.join(blocked.withColumnRenamed("class", "address").union(members).distinct(), "address", "left_semi"))
