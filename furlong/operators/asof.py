@@ -25,6 +25,37 @@ def with_before(runs: DataFrame, keys: list[str], day: str, sums: dict[str, str]
     return runs.alias("r").join(b.alias("b"), cond).select("r.*", *[F.col(f"b.{n}").alias(n) for n in sums])
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``left`` with the other columns of the ``right`` row of equal keys; nulls are equal to each other."""
+    right = right.withColumnsRenamed({k: f"__same_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond &= left[k].eqNullSafe(right[f"__same_{k}"])
+    return left.join(right, cond, how).drop(*[f"__same_{k}" for k in keys])
+
+
+def before_in_cell(rows: DataFrame, cell: list[str], day: str, value: str, least: int = 50, clip: float = 5.0) -> DataFrame:
+    """``rows`` with z, their ``value`` against the mean and spread of their cell on earlier days: null below ``least`` earlier
+    values and where these do not spread, kept within ``clip``. Null keys form a cell, null values count nowhere.
+
+    Days are summed first: the count, the mean and the squares about it. Days are then joined about the first day's mean, so
+    no square of a large level is subtracted from another."""
+    daily = rows.groupBy(*cell, day).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("squares"))
+    w = Window.partitionBy(*cell).orderBy(day)
+    daily = daily.withColumn("first", F.first("mean", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    off = F.coalesce(F.col("mean") - F.col("first"), F.lit(0.0))
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"n": F.sum("n"), "s": F.sum(F.col("n") * off), "q": F.sum(F.col("squares") + F.col("n") * off * off)}
+    first = F.max("first").over(past)  # the same on all days once there is one
+    daily = daily.select(*cell, day, *[c.over(past).alias(f"__{k}") for k, c in sums.items()], first.alias("__first"))
+    out = join_same(rows, daily, [*cell, day])
+    n, q = F.col("__n"), F.try_divide(F.col("__q"), F.col("__n"))
+    shift = F.try_divide(F.col("__s"), n)
+    spread = q - shift * shift
+    z = F.when((n >= least) & (spread > 1e-12 * q), (F.col(value) - F.col("__first") - shift) / F.sqrt(spread))
+    return out.withColumn("z", z).withColumn("z", F.when(F.col("z").isNotNull(), F.least(F.lit(clip), F.greatest(F.lit(-clip), F.col("z"))))).drop("__n", "__s", "__q", "__first")
+
+
 def asof_strict(probes: DataFrame, source: DataFrame, keys: list[str], day: str, values: list[str], tie: str) -> DataFrame:
     """``probes`` with the ``values`` of the last ``source`` row of the same keys on an earlier day (the largest ``tie`` of
     that day). Probes and source are one union in one window; a probe stands before the sources of its day."""
@@ -44,22 +75,31 @@ def last(k: int | None, agg: str) -> Callable[[WindowSpec], Column]:
 Reduction = Callable[[WindowSpec], Column]
 
 
-def asof_reductions(runs: DataFrame, key: str, day: str, tie: str, blocks: dict[str, tuple[str, dict[str, Reduction]]]) -> DataFrame:
+def asof_reductions(runs: DataFrame, key: str, day: str, tie: str, blocks: dict[str, tuple[str, dict[str, Reduction]]], sources: dict[str, str] | None = None) -> DataFrame:
     """``runs`` with reductions of each key's rows of earlier days. A block is a value (an SQL expression; rows where it is null are no
     source) with reductions that read it as column ``x`` in the order of (day, tie); its outputs at a row are those at the
     last source row of an earlier day. All blocks of a key share one exchange, and no join is needed: what stood at the
-    last source row is the max_by of a frame that ends on the day before."""
-    own = runs.columns
+    last source row is the max_by of a frame that ends on the day before.
+
+    ``sources`` names, for a block, the condition that makes a row its source (in the place of a value that is not null): blocks of
+    one condition share one sort and one frame."""
+    own, sources = runs.columns, sources or {}
     df = runs.withColumn("__day", F.datediff(F.col(day), F.lit("1970-01-01")))
     before = Window.partitionBy(key).orderBy("__day").rangeBetween(Window.unboundedPreceding, -1)
-    out = []
-    for name, (value, reductions) in blocks.items():
-        x = f"__{name}"
-        w = Window.partitionBy(key, F.col(x).isNull()).orderBy("__day", tie)
-        df = df.withColumn(x, F.expr(value)).withColumn("x", F.col(x))
-        df = df.select(*own, *[c for c in df.columns if c.startswith("__")], F.when(F.col(x).isNotNull(), F.struct(*[r(w).alias(n) for n, r in reductions.items()])).alias(f"{x}_now"))
-        out += [F.col(f"{x}_was.{n}").alias(n) for n in reductions]
-    was = {f"__{n}_was": F.max_by(f"__{n}_now", F.when(F.col(f"__{n}").isNotNull(), F.struct("__day", tie))).over(before) for n in blocks}
+    groups: dict[str, list[str]] = {}
+    for name, (value, _) in blocks.items():
+        groups.setdefault(sources.get(name, f"({value}) IS NOT NULL"), []).append(name)
+    conditions = {c: f"__c{i}" for i, c in enumerate(groups)}
+    df = df.withColumns({n: F.coalesce(F.expr(c), F.lit(False)) for c, n in conditions.items()})
+    out, was = [], {}
+    for c, names in groups.items():
+        w = Window.partitionBy(key, conditions[c]).orderBy("__day", tie)
+        for name in names:
+            value, reductions = blocks[name]
+            df = df.withColumn("x", F.expr(value))
+            df = df.select(*own, *[k for k in df.columns if k.startswith("__")], F.struct(*[r(w).alias(n) for n, r in reductions.items()]).alias(f"__{name}_now"))
+            out += [F.col(f"{conditions[c]}_was.__{name}_now.{n}").alias(n) for n in reductions]
+        was[f"{conditions[c]}_was"] = F.max_by(F.struct(*[f"__{n}_now" for n in names]), F.when(F.col(conditions[c]), F.struct("__day", tie))).over(before)
     return df.withColumns(was).select(*own, *out)
 
 

@@ -5,10 +5,13 @@ Samples are rows (contest, p, won) of contests with exactly one winner; only can
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .metrics import clipped
+
 #: The search range of every power, and the pivot of the two-piece power.
 RANGE, PIVOT = (0.1, 5.0), 0.15
 
@@ -92,11 +95,36 @@ def stage_samples(runs: DataFrame, contest: str, order: str, stage: int) -> Data
     return rows.filter(F.col(order).isNull() | (F.col(order) >= stage)).withColumn("__next", F.coalesce((F.col(order) == stage).cast("int"), F.lit(0)))
 
 
-def fit_softmax(rows: DataFrame, contest: str, won: str, features: list[str], *, steps: int = 8, ridge: float = 1e-9) -> np.ndarray:
-    """Coefficients of the conditional logit: shares softmax(features . theta) within each contest of one winner. Newton
-    steps from 0; each is one aggregation of a k-vector and a k x k matrix."""
+class Fit(NamedTuple):
+    """Coefficients, and why the steps ended: fitted (the gradient is gone), not_converged (it is not after the last step),
+    separable (the winners' loss goes to 0, or a coefficient beyond all measure), no_samples."""
+
+    theta: np.ndarray
+    status: str
+    steps: int
+
+
+#: A coefficient on a feature of unit spread beyond this is no finite optimum.
+FAR = 30.0
+
+
+def settled(theta: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, n: int, tolerance: float) -> str | None:
+    """Status where Newton steps may end: at a gradient below ``tolerance`` a contest, or beyond FAR spreads."""
+    spread = np.sqrt(np.maximum(np.diag(hessian), 0) / max(n, 1))
+    if n and (spread < 1e-6).all() and np.abs(theta).max(initial=0) > 1:
+        return "separable"
+    if np.abs(gradient).max(initial=0) <= tolerance * n:
+        return "fitted"
+    return None
+
+
+def fit_softmax(rows: DataFrame, contest: str, won: str, features: list[str], *, steps: int = 8, ridge: float = 1e-9, tolerance: float = 1e-8) -> Fit:
+    """The conditional logit: shares softmax(features . theta) within each contest of one winner. Newton steps from 0; each is
+    one aggregation of a k-vector and a k x k matrix. Rows of no contest with a winner give no_samples and zeros."""
     rows, k = rows.persist(), len(features)
-    theta = np.zeros(k)
+    theta, status, done = np.zeros(k), "not_converged", 0
+    spread = rows.agg(*[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
+    scale = np.array([spread[f"s{i}"] or 0.0 for i in range(k)])
     w = Window.partitionBy(contest)
     for _ in range(steps):
         u = sum((F.col(f) * float(t) for f, t in zip(features, theta, strict=True)), F.lit(0.0))
@@ -105,14 +133,21 @@ def fit_softmax(rows: DataFrame, contest: str, won: str, features: list[str], *,
         at_win = [F.sum(F.col(won) * F.col(f)).alias(f"x{i}") for i, f in enumerate(features)]
         second = [F.sum(F.col("__s") * F.col(features[i]) * F.col(features[j])).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
         c = r.groupBy(contest).agg(*mean, *at_win, *second)
-        got = c.agg(*[F.sum(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"g{i}") for i in range(k)], *[F.sum(F.col(f"c{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        got = c.agg(F.count("*").alias("n"), *[F.sum(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"g{i}") for i in range(k)], *[F.sum(F.col(f"c{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]).first()
         if got["g0"] is None:
+            status = "no_samples"
             break
         g = np.array([got[f"g{i}"] for i in range(k)])
         h = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        theta = theta + np.linalg.solve(h + ridge * np.eye(k), g)
+        if ended := settled(theta, g, h, got["n"], tolerance):
+            status = ended
+            break
+        theta, done = theta + np.linalg.solve(h + ridge * np.eye(k), g), done + 1
+        if np.abs(theta * scale).max() > FAR:
+            status = "separable"
+            break
     rows.unpersist()
-    return theta
+    return Fit(theta, status, done)
 
 
 def softmax_shares(rows: DataFrame, contest: str, features: list[str], theta: np.ndarray, out: str) -> DataFrame:
@@ -123,9 +158,11 @@ def softmax_shares(rows: DataFrame, contest: str, features: list[str], theta: np
 
 
 def fit_platt(rows: DataFrame, p: str, label: str, *, steps: int = 8) -> tuple[float, float]:
-    """(slope, shift) of the logistic calibration of logit(p), by Newton steps from the identity."""
+    """(slope, shift) of the logistic calibration of logit(p), by Newton steps from the identity. Scores are clipped away from 0
+    and 1; steps end where slope and shift cannot be told apart (one score only) or labels are all alike."""
     a, b = 1.0, 0.0
-    rows = rows.select(F.ln(F.col(p) / (1 - F.col(p))).alias("z"), F.col(label).cast("double").alias("y")).persist()
+    x = clipped(F.col(p))
+    rows = rows.select(F.ln(x / (1 - x)).alias("z"), F.col(label).cast("double").alias("y")).persist()
     for _ in range(steps):
         s = 1 / (1 + F.exp(-(F.col("z") * a + b)))
         v, d = s * (1 - s), F.col("y") - s
@@ -133,6 +170,8 @@ def fit_platt(rows: DataFrame, p: str, label: str, *, steps: int = 8) -> tuple[f
         if not r["hbb"]:
             break
         det = r["haa"] * r["hbb"] - r["hab"] ** 2
+        if det <= 1e-12 * r["haa"] * r["hbb"]:
+            break
         a, b = a + (r["hbb"] * r["ga"] - r["hab"] * r["gb"]) / det, b + (r["haa"] * r["gb"] - r["hab"] * r["ga"]) / det
     rows.unpersist()
     return a, b

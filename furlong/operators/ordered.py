@@ -26,8 +26,8 @@ def running(df: DataFrame, order: list[str], sums: dict[str, Column], group: lis
 
 
 def drawdown(bets: DataFrame, order: list[str], gain: Column, group: list[str]) -> DataFrame:
-    """(group, drawdown, lowest, highest): the largest fall of the running sum of ``gain`` from an earlier peak, and its
-    lowest and highest value; a path begins at its first bet."""
+    """(group, drawdown, lowest, highest): the largest fall of the running sum of ``gain`` from an earlier peak, the opening
+    bank of 0 being the first, and the lowest and highest value after a bet."""
     path = running(bets, order, {"bank": gain}, group)
     local = Window.partitionBy("__part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     path = path.withColumn("peak", F.max("bank").over(local))
@@ -35,7 +35,7 @@ def drawdown(bets: DataFrame, order: list[str], gain: Column, group: list[str])
     w = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = part.select("__part", *group, F.max("top").over(w).alias("before"))
     path = path.join(F.broadcast(before), ["__part", *group])
-    fall = F.greatest(F.col("peak"), F.coalesce("before", "peak")) - F.col("bank")
+    fall = F.greatest(F.col("peak"), F.coalesce("before", "peak"), F.lit(0)) - F.col("bank")
     return path.groupBy(*group).agg(F.max(fall).alias("drawdown"), F.min("bank").alias("lowest"), F.max("bank").alias("highest"), F.count("*").alias("bets"))
 
 

@@ -258,7 +258,7 @@ def oof_predictions(s: SparkSession, d: str) -> DataFrame:
 def softmax_fit(s: SparkSession, d: str) -> DataFrame:
     """Weights of ln p-like and weight features in the contest softmax, fitted before 1998 and scored from then on."""
     rows = samples(s, d).withColumns({"f1": F.ln("q"), "f2": F.col("weight") / 100})
-    theta = fits.fit_softmax(rows.filter("year(day) < 1998"), "contest_id", "won", ["f1", "f2"])
+    theta = fits.fit_softmax(rows.filter("year(day) < 1998"), "contest_id", "won", ["f1", "f2"], tolerance=1e-12).theta
     new = fits.softmax_shares(rows.filter("year(day) >= 1998"), "contest_id", ["f1", "f2"], theta, "r").filter("won = 1")
     return new.agg(F.lit(round(float(theta[0]), 6)).alias("alpha"), F.lit(round(float(theta[1]), 6)).alias("beta"), F.count("*").alias("contests"), F.round(F.avg(-F.ln("r")), 6).alias("nll"), F.round(F.avg(-F.ln("q")), 6).alias("nll_market"),
                    F.round(1 - F.avg(-F.ln("r")) / F.avg(F.ln("n")), 6).alias("r2"), F.round(F.avg(F.ln("r") - F.ln("q")) / F.avg(F.ln("n")), 6).alias("delta_r2"))

@@ -32,11 +32,12 @@ def timed(s: SparkSession, d: str) -> DataFrame:
 def year_file(s: SparkSession, d: str) -> DataFrame:
     """A file in the feed's own encoding and 73 columns, some rows short of two, read back by venue, bad rows as errors."""
     path = work_dir(s)
-    s.conf.set("spark.sql.legacy.javaCharsets", "true")
     cells = [F.col("o_orderkey").cast("string"), F.col("dotted"), F.col("venue"), F.col("clock"), F.lit("")]
     line = F.concat_ws(",", *cells, *[F.lit("x")] * 66)
     full = F.when(F.col("o_orderkey") % 97 == 0, line).otherwise(F.concat_ws(",", line, F.lit("y"), F.lit("z")))
-    timed(s, d).select(F.encode(full, "MS932").cast("string").alias("value")).write.text(path)
+    with core.wide_charsets(s):
+        encoded = timed(s, d).select(F.encode(full, "MS932").cast("string").alias("value"))
+    encoded.write.text(path)
     rows, errors = core.read_year_file(s, path, YEAR_COLUMNS)
     code = F.create_map(*[F.lit(x) for kv in VENUES.items() for x in kv])
     good = rows.groupBy(code[F.col("venue")].alias("venue")).agg(F.count("*").alias("n"), F.round(F.sum(t.seconds(F.col("time"))), 1).alias("seconds"), F.max(t.dotted_date(F.col("day"))).alias("last_day"))
@@ -223,7 +224,7 @@ printf('%04d05%02d%02d%02d', year(o_orderdate), o_orderkey % 5, o_orderkey % 12,
     "store_roundtrip": "SELECT count(CASE WHEN day <= date '1996-12-31' THEN 1 END) AS stored, count(*) AS n, true AS same, true AS same_in_any_order, false AS same_when_changed, true AS verified FROM runs",
     "size_percentile": "WITH e AS (SELECT contest_id, max(n) AS n, round(-sum(q * ln(q)), 6) AS x FROM market WHERE n > 1 GROUP BY contest_id), g AS (SELECT n, " + ", ".join(f"percentile_cont({k / 5}) WITHIN GROUP (ORDER BY x) AS e{k}" for k in range(6)) + " FROM e GROUP BY n) SELECT contest_id, round(CASE WHEN x >= e5 THEN 1 " + " ".join(f"WHEN x >= e{k} THEN ({k} + (x - e{k}) / (e{k + 1} - e{k})) / 5e0" for k in range(4, -1, -1)) + " ELSE 0 END, 6) AS place FROM e JOIN g ON e.n = g.n",
     "market_rank": "SELECT contest_id, entity_id, won FROM market m WHERE (SELECT count(*) FROM market o WHERE o.contest_id = m.contest_id AND (round(o.q, 9) > round(m.q, 9) OR (round(o.q, 9) = round(m.q, 9) AND o.entity_id < m.entity_id))) = 1",
-    "previous_contest": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY day, contest_id) AS k FROM runs) SELECT a.contest_id, a.entity_id, cast(b.finish_order AS bigint) AS finish, (SELECT min(odds) FROM runs w WHERE w.contest_id = b.contest_id AND w.won = 1) AS winner_odds
-FROM r a LEFT JOIN r b ON b.entity_id = a.entity_id AND b.k = a.k - 1""",
+    "previous_contest": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY day, contest_id) AS k FROM runs) SELECT a.contest_id, a.entity_id, cast(b.finish_order AS bigint) AS finish, w.odds AS winner_odds
+FROM r a LEFT JOIN r b ON b.entity_id = a.entity_id AND b.k = a.k - 1 LEFT JOIN (SELECT contest_id, min(odds) AS odds FROM runs WHERE won = 1 GROUP BY contest_id) w ON w.contest_id = b.contest_id""",
     "latest_metrics": "WITH a AS (SELECT 'model' AS name, year(day) AS y, p AS s, won FROM market WHERE n > 1 UNION ALL SELECT 'market', year(day), q, won FROM market WHERE n > 1) SELECT name, y, cast(count(*) AS bigint) AS n, round(avg((s - won) * (s - won)), 6) AS brier, y = (SELECT max(year(day)) FROM market WHERE n > 1) AS latest FROM a GROUP BY name, y",
 }

@@ -237,11 +237,11 @@ SELECT cast(count(*) AS bigint) AS bins, round(sum(abs(sc - h)) / sum(n), 6) AS
     "ece_by_field_size": f"SELECT field, cast(sum(k) AS bigint) AS n, round(sum(gap) / sum(k), 6) AS ece FROM (SELECT n AS field, count(*) AS k, abs(sum(p - won)) AS gap FROM market GROUP BY n, {_BIN}) x GROUP BY field",
     "reliability_wilson": f"""WITH c AS (SELECT {_BIN} AS bin, cast(count(*) AS bigint) AS n, avg(p) AS m, avg(cast(won AS double)) AS r FROM market GROUP BY {_BIN}), h AS (SELECT *, 1.96 * sqrt((r * (1 - r) + 0.9604 / n) / n) AS half FROM c)
 SELECT bin, n, round(m, 6) AS mean_score, CASE WHEN n >= 30 THEN round(r, 5) END AS rate, CASE WHEN n >= 30 THEN round((r + 1.9208 / n - half) / (1 + 3.8416 / n), 5) END AS low, CASE WHEN n >= 30 THEN round((r + 1.9208 / n + half) / (1 + 3.8416 / n), 5) END AS high FROM h""",
-    "drawdown_by_year": f"WITH b AS (SELECT *, {_PATH.format(r='won * odds - 1')} AS bank FROM {FAV} f) SELECT y, round(max(peak - bank), 4) AS drawdown FROM (SELECT y, bank, max(bank) OVER (PARTITION BY y ORDER BY day, contest_id) AS peak FROM b) x GROUP BY y",
+    "drawdown_by_year": f"WITH b AS (SELECT *, {_PATH.format(r='won * odds - 1')} AS bank FROM {FAV} f) SELECT y, round(max(greatest(peak, 0) - bank), 4) AS drawdown FROM (SELECT y, bank, max(bank) OVER (PARTITION BY y ORDER BY day, contest_id) AS peak FROM b) x GROUP BY y",
     "losing_streak": f"""WITH g AS (SELECT y, won, row_number() OVER (PARTITION BY y ORDER BY day, contest_id) - row_number() OVER (PARTITION BY y, won ORDER BY day, contest_id) AS island FROM {FAV} f)
 SELECT y, cast(max(CASE WHEN won = 0 THEN len ELSE 0 END) AS bigint) AS longest FROM (SELECT y, won, count(*) AS len FROM g GROUP BY y, won, island) x GROUP BY y""",
     "bankroll_by_year": f"""WITH r AS (SELECT *, 2e-2 * (won * odds - 1) AS r FROM {FAV} f), a AS (SELECT *, {_PATH.format(r='CASE WHEN r <= -1 THEN 1 ELSE 0 END')} AS ruined FROM r), b AS (SELECT *, {_PATH.format(r='ln(1 + r)')} AS bank FROM a WHERE ruined = 0)
-SELECT y, cast(count(*) AS bigint) AS bets, round(min(bank), 5) + 0e0 AS lowest_log, round(max(bank), 5) + 0e0 AS highest_log, round(max(peak - bank), 5) AS log_drawdown FROM (SELECT *, max(bank) OVER (PARTITION BY y ORDER BY day, contest_id) AS peak FROM b) x GROUP BY y""",
+SELECT y, cast(count(*) AS bigint) AS bets, round(min(bank), 5) + 0e0 AS lowest_log, round(max(bank), 5) + 0e0 AS highest_log, round(max(greatest(peak, 0) - bank), 5) AS log_drawdown FROM (SELECT *, max(bank) OVER (PARTITION BY y ORDER BY day, contest_id) AS peak FROM b) x GROUP BY y""",
     "quintile_edges": f"SELECT " + ", ".join(f"round(percentile_cont({k / 5}) WITHIN GROUP (ORDER BY entropy), 9) AS e{k}" for k in range(1, 5)) + f" FROM ({_ENTROPY}) x",
     "band_diagnostic": f"""WITH e AS ({_ENTROPY}), k AS (SELECT percentile_cont(0.33) WITHIN GROUP (ORDER BY entropy) AS a, percentile_cont(0.67) WITHIN GROUP (ORDER BY entropy) AS b FROM e),
 s AS (SELECT CASE WHEN entropy <= a THEN 1 WHEN entropy <= b THEN 2 ELSE 3 END AS band, count(*) AS contests, avg(1e0 - fav_won) AS loss, avg(CASE WHEN payout >= 8 THEN 1e0 ELSE 0e0 END) AS high, count(CASE WHEN winners <> 1 THEN 1 END) AS voids FROM e, k GROUP BY 1)

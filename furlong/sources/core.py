@@ -2,8 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.asof import join_same
+
+
+@contextmanager
+def wide_charsets(spark: SparkSession) -> Iterator[None]:
+    """While expressions are built: encodings beyond the standard ones. The session's setting stands again afterwards."""
+    key = "spark.sql.legacy.javaCharsets"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """(file, line, text) with line numbers from 1 in each file, however it is split: lines are counted by block, and the
@@ -13,11 +33,11 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
     before = raw.groupBy("file", "block").agg(F.max("k").alias("n"))
     w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("file", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
-    text = F.col("value")
-    if encoding.upper() != "UTF-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        text = F.decode(text.cast("binary"), encoding)
-    return raw.join(before, ["file", "block"]).select("file", (F.col("base") + F.col("k")).alias("line"), text.alias("text"))
+    out = raw.join(before, ["file", "block"]).select("file", (F.col("base") + F.col("k")).alias("line"), F.col("value").alias("text"))
+    if encoding.upper() == "UTF-8":
+        return out
+    with wide_charsets(spark):
+        return out.withColumn("text", F.decode(F.col("text").cast("binary"), encoding))
 
 
 def read_year_file(spark: SparkSession, path: str, columns: list[str], encoding: str = "MS932") -> tuple[DataFrame, DataFrame]:
@@ -38,16 +58,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Old rows as they are, and the first new row of each key that they lack."""
-    first = new.join(old.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.min_by(F.struct(*[c for c in new.columns if c not in keys]), order).alias("v"))
+    """Old rows as they are, and the first new row of each key that they lack. Null keys are equal to each other, so a repeated
+    load inserts nothing."""
+    first = join_same(new, old.select(*keys).distinct(), keys, "left_anti").groupBy(*keys).agg(F.min_by(F.struct(*[c for c in new.columns if c not in keys]), order).alias("v"))
     return old.unionByName(first.select(*keys, "v.*").select(*old.columns))
 
 
 def fill_nulls(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], finished: Column) -> DataFrame:
     """Old rows with the columns of the new row of their key: replaced while the result is open, only filled where null once
-    ``finished`` (a column over the old row). A null in the new row never replaces anything."""
+    ``finished`` (a column over the old row). A null in the new row never replaces anything. Null keys are equal to each other."""
     n = new.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns])
-    j = old.join(n, keys, "left")
+    j = join_same(old, n, keys)
     value = lambda c: F.when(finished, F.coalesce(F.col(c), F.col(f"__{c}"))).otherwise(F.coalesce(F.col(f"__{c}"), F.col(c)))
     return j.select(*[value(c).alias(c) if c in columns else F.col(c) for c in old.columns])
 
