@@ -4,9 +4,10 @@ Their oracles are SQL of another form: day sums, a union of probes and sources,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..operators.asof import asof_reductions, asof_strict, last, loo_mean, with_before
+from ..operators.availability import tagged
+from ..operators.asof import asof_reductions, asof_strict, before_in_cell, join_same, last, loo_mean, with_before
 from ..sources.panel import market, runs
 
 six = lambda c: F.round(c, 6) + F.lit(0.0)
@@ -52,10 +53,8 @@ def figure(value: str, *cell: str, finished: bool = False):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = runs(spark, sf_dir).withColumn("v", F.expr(value))
         df = df.filter("result_status = 'finished'") if finished else df
-        df = with_before(df.select("contest_id", "entity_id", "day", "v", *cell), list(cell), "day", {"n": "1", "s": "v", "ss": "v * v"})
-        mean = F.try_divide("s", "n")
-        z = (F.col("v") - mean) / F.sqrt(F.col("ss") / F.col("n") - mean * mean)
-        return df.select("contest_id", "entity_id", F.when(F.col("n") >= 50, F.round(F.least(F.lit(5.0), F.greatest(F.lit(-5.0), z)), 4)).alias("z"))
+        df = before_in_cell(df.select("contest_id", "entity_id", "day", "v", *cell), list(cell), "day", "v")
+        return df.select("contest_id", "entity_id", F.round(F.when(F.col("v").isNotNull(), F.col("z")), 4).alias("z"))
 
     return query
 
@@ -80,77 +79,144 @@ def condition_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The blocks of the matrix: name to (columns it gives, what they need). Each adds columns to the runs.
-ENTITY_BLOCKS = {
-    "form": ("finish_order", {"form_last": x_now, "form_mean3": last(3, "avg(x)"), "form_best5": last(5, "min(x)")}),
-    "wins": ("cast(won AS double)", {"win_rate5": last(5, "avg(x)")}),
-    "market": ("ln(q * n)", {"support_last": x_now, "support_best5": last(5, "max(x)"), "support_career": lambda w: last(None, "sum(x)")(w) / (last(None, "count(x)")(w) + 5)}),
-    "pace": ("rel", {"pace_mean5": last(5, "avg(x)"), "pace_min5": last(5, "min(x)")}),
-    "gain": ("line - finish_order", {"gain_mean": last(None, "avg(x)"), "gain_best": last(None, "max(x)")}),
-    "load": ("weight", {"weight_last": x_now}),
+#: Reductions of an entity's earlier values by name: aggregate and how many of the last values it reads (all if None).
+Takes = dict[str, tuple[str, int | None]]
+AGGREGATES = {"mean": "avg(x)", "best": "max(x)", "least": "min(x)", "spread": "stddev_samp(x)"}
+#: Blocks of an entity's earlier rows: name to (value, source, reductions).
+ENTITY_BLOCKS: dict[str, tuple[str, str, Takes]] = {
+    "form": ("finish_order", "results", {"form_last": ("now", 1), "form_mean3": ("mean", 3), "form_mean5": ("mean", 5), "form_best5": ("least", 5), "form_worst5": ("best", 5), "form_spread5": ("spread", 5)}),
+    "wins": ("cast(won AS double)", "results", {"win_rate5": ("mean", 5), "win_rate10": ("mean", 10)}),
+    "shows": ("cast(top3 AS double)", "results", {"show_rate5": ("mean", 5)}),
+    "market": ("ln(q * n)", "market", {"support_last": ("now", 1), "support_mean3": ("mean", 3), "support_best5": ("best", 5), "support_spread5": ("spread", 5), "support_career": ("shrunk", None)}),
+    "popular": ("cast(popularity AS double)", "market", {"popularity_last": ("now", 1), "popularity_mean5": ("mean", 5), "popularity_best5": ("least", 5)}),
+    "beat": ("cast(popularity - finish_order AS double)", "results", {"beat_mean5": ("mean", 5), "beat_best": ("best", None)}),
+    "residual": ("won - q", "results", {"residual_mean5": ("mean", 5), "residual_career": ("shrunk", None)}),
+    "pace": ("rel", "results", {"pace_mean5": ("mean", 5), "pace_min5": ("least", 5), "pace_spread5": ("spread", 5)}),
+    "front": ("CASE WHEN rel < 0 THEN 1e0 WHEN rel >= 0 THEN 0e0 END", "results", {"front_rate": ("mean", None), "front_rate5": ("mean", 5)}),
+    "gain": ("line - finish_order", "results", {"gain_mean": ("mean", None), "gain_best": ("best", None), "gain_worst": ("least", None)}),
+    "speed": ("z", "results", {"speed_last": ("now", 1), "speed_mean3": ("mean", 3), "speed_best5": ("best", 5)}),
+    "load": ("weight", "entries", {"weight_last": ("now", 1)}),
+    "trip": ("distance", "entries", {"distance_last": ("now", 1)}),
+    "grade": ("cast(substring(class, 1, 1) AS int)", "entries", {"class_last": ("now", 1)}),
+    "date": ("datediff(day, date '1992-01-01')", "entries", {"day_last": ("now", 1)}),
 }
-
-
-#: Day sums by key: prefix to (keys, hit).
-SUM_BLOCKS = {
-    "career": (["entity_id"], "won"), "place": (["entity_id"], "top3"), "agent": (["agent_id"], "won"), "owner": (["owner_id"], "won"),
-    "band": (["entity_id", "band"], "won"), "venue_band": (["venue", "band"], "won"), "sire": (["sire"], "won"), "pair": (["agent_id", "owner_id"], "top2"),
+#: Blocks whose values are there for all rows, or for all that finished: they share a sort.
+ALWAYS, FINISHED, PACED = "true", "finish_order IS NOT NULL", "rel IS NOT NULL"
+SOURCES = dict.fromkeys(("wins", "shows", "load", "trip", "grade", "date"), ALWAYS) | dict.fromkeys(("form", "beat", "gain"), FINISHED) | dict.fromkeys(("pace", "front"), PACED) | dict.fromkeys(("market", "residual", "popular"), "q IS NOT NULL")
+WIN, SHOW, FINISH = ("won", "1"), ("top3", "1"), ("finish_order", "CASE WHEN finish_order IS NOT NULL THEN 1 END")
+#: Blocks of day sums by key: name to (keys, rates); a rate is a sum over another. Each has the number of starts besides.
+SUM_BLOCKS: dict[str, tuple[list[str], dict[str, tuple[str, str]]]] = {
+    "career": (["entity_id"], {"rate": WIN, "top2_rate": ("top2", "1"), "show_rate": SHOW, "finish_mean": FINISH, "stopped_rate": ("CASE WHEN result_status = 'stopped' THEN 1 ELSE 0 END", "1")}),
+    "place": (["entity_id", "class"], {"rate": SHOW, "finish_mean": FINISH}), "agent": (["agent_id"], {"rate": WIN, "show_rate": SHOW, "finish_mean": FINISH}),
+    "owner": (["owner_id"], {"rate": WIN, "show_rate": SHOW}), "band": (["entity_id", "band"], {"rate": WIN, "finish_mean": FINISH}), "venue_band": (["venue", "band"], {"rate": WIN}),
+    "sire": (["sire"], {"rate": WIN, "show_rate": SHOW}), "sire_band": (["sire", "band"], {"rate": WIN}), "pair": (["agent_id", "owner_id"], {"rate": ("top2", "1")}),
+    "agent_venue": (["agent_id", "venue"], {"rate": WIN, "show_rate": SHOW}), "agent_band": (["agent_id", "band"], {"rate": WIN}),
 }
-FIELD_BLOCK = ["career_rate", "form_mean3", "support_last", "weight"]
+#: Columns of the row itself, or of it and the blocks above: name to (expression, source, timing).
+DERIVED: dict[str, tuple[str, str, str]] = {
+    "field_size": ("n", "entries", "entry"), "carried": ("weight", "entries", "entry"), "trip_length": ("distance", "entries", "entry"), "grade_now": ("cast(substring(class, 1, 1) AS int)", "entries", "entry"),
+    "share_now": ("q", "market", "market"), "popularity_now": ("popularity", "market", "market"), "debut": ("CASE WHEN day_last IS NULL THEN 1 ELSE 0 END", "entries", "as_of"), "few_starts": ("CASE WHEN career_starts < 3 THEN 1 ELSE 0 END", "entries", "as_of"),
+    "days_since": ("datediff(day, date '1992-01-01') - day_last", "entries", "as_of"), "weight_change": ("weight - weight_last", "entries", "as_of"), "distance_change": ("distance - distance_last", "entries", "as_of"),
+    "class_step": ("cast(substring(class, 1, 1) AS int) - class_last", "entries", "as_of"), "season_sin": ("sin(2 * pi() * dayofyear(day) / 365)", "entries", "static"), "season_cos": ("cos(2 * pi() * dayofyear(day) / 365)", "entries", "static"),
+}
+#: What some derived columns read of the blocks.
+DERIVED_NEEDS = {"debut": ["day_last"], "few_starts": ["career_starts"], "days_since": ["day_last"], "weight_change": ["weight_last"], "distance_change": ["distance_last"], "class_step": ["class_last"]}
+#: Columns that are also given less the mean of the other entries of the field.
+FIELD_BLOCK = ["career_rate", "career_show_rate", "career_finish_mean", "form_mean3", "form_best5", "win_rate5", "support_last", "popularity_mean5", "pace_mean5", "agent_rate", "speed_mean3", "weight"]
 
 
 def matrix_columns() -> dict[str, str]:
     """Every feature column and the block that gives it."""
-    out = {c: b for b, (_, cols) in ENTITY_BLOCKS.items() for c in cols}
-    out |= {f"{b}_{c}": b for b in SUM_BLOCKS for c in ("starts", "rate")}
-    return out | {f"{c}_vs_field": "field" for c in FIELD_BLOCK}
+    out = {c: b for b, (_, _, cols) in ENTITY_BLOCKS.items() for c in cols}
+    out |= {f"{b}_{c}": b for b, (_, rates) in SUM_BLOCKS.items() for c in ("starts", *rates)}
+    return out | dict.fromkeys(DERIVED, "derived") | {f"{c}_vs_field": "field" for c in FIELD_BLOCK}
 
 
-def asof_matrix(rows: DataFrame, columns: list[str] | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """One row for each started entry with the as-of features of all wired blocks, on (contest_id, entity_id).
+def _available() -> dict[str, tuple[str, str, str]]:
+    """(source, timing, treatment of gaps) of every feature column."""
+    out = {c: (source, "as_of", "null") for _, source, cols in ENTITY_BLOCKS.values() for c in cols}
+    out |= {f"{b}_{c}": ("results" if c != "starts" else "entries", "as_of", "zero" if c == "starts" else "prior" if c == "rate" else "null") for b, (_, rates) in SUM_BLOCKS.items() for c in ("starts", *rates)}
+    out |= {c: (source, timing, "null") for c, (_, source, timing) in DERIVED.items()}
+    return out | {f"{c}_vs_field": (*out.get(c, ("entries", "entry", "null"))[:2], "null") for c in FIELD_BLOCK}
+
+
+AVAILABLE = _available()
+
 
-    ``rows`` is the market panel. Of the entity blocks all columns come from one exchange by entity; each day-sum block is
-    an aggregation to (keys, day) and one join. With ``columns`` only the blocks that these need are built; with ``targets``
-    (contest_id) only those contests' rows are returned, and history is first cut to the entities and keys that they hold,
-    which leaves every value as it is."""
+def asof_matrix(rows: DataFrame, columns: list[str] | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """One row for each started entry with the as-of features of all wired blocks, on (contest_id, entity_id), each column
+    described by its availability.
+
+    ``rows`` is the market panel. A null key (an agent, owner, sire or venue that is not known) is a key like any other, so no
+    row is lost. Of the entity blocks all columns come from one exchange by entity. Each day-sum block is an aggregation to (keys,
+    day) that narrow rows (the entry and its keys) look up; the wide row itself is moved twice only, to join these by
+    entry and for the field's means. With ``columns`` only the blocks that these need are built; with ``targets`` (contest_id) only
+    those contests' rows are returned, and history is first cut to the entities and keys that they hold, which leaves every
+    value as it is."""
     every = matrix_columns()
     wanted = list(every) if columns is None else columns
     if unknown := [c for c in wanted if c not in every]:
         raise ValueError(f"no such feature columns: {unknown}")
-    need = {every[c] for c in wanted}
-    inner = {every[c] for c in FIELD_BLOCK if f"{c}_vs_field" in wanted and c in every}
+    inner = [c for c in FIELD_BLOCK if f"{c}_vs_field" in wanted] + [n for c in wanted for n in DERIVED_NEEDS.get(c, ())]
+    need = {every[c] for c in [*wanted, *inner] if c in every}
     rows = rows.withColumn("band", F.expr(BAND)).withColumn("rel", F.expr(RELATIVE))
-    at = rows if targets is None else rows.join(targets.select("contest_id").distinct(), "contest_id", "left_semi")
+    wanted_contests = None if targets is None else targets.select("contest_id").distinct()
+    at = rows if targets is None else rows.join(wanted_contests, "contest_id", "left_semi")
 
     def history(keys: list[str]) -> DataFrame:
-        return rows if targets is None else rows.join(at.select(*keys).distinct(), keys, "left_semi")
-
-    blocks = {n: b for n, b in ENTITY_BLOCKS.items() if n in need | inner}
-    out = asof_reductions(history(["entity_id"]), "entity_id", "day", "contest_id", blocks) if blocks else rows
-    if targets is not None:
-        out = out.join(targets.select("contest_id").distinct(), "contest_id", "left_semi")
-    for name, (keys, hit) in SUM_BLOCKS.items():
-        if name in need | inner:
-            daily = history(keys).groupBy(*keys, "day").agg(F.count("*").alias("s"), F.sum(hit).alias("h"))
+        return rows if targets is None else join_same(rows, at.select(*keys).distinct(), keys, "left_semi")
+
+    blocks = {n: (value, {c: taken(*t) for c, t in cols.items()}) for n, (value, _, cols) in ENTITY_BLOCKS.items() if n in need}
+    out = at
+    if blocks:
+        past = history(["entity_id"])
+        if "speed" in blocks:
+            # figures are of cells, so the rows of all entities are their past
+            seen = before_in_cell(rows.withColumn("v", F.expr("price / weight")).select("contest_id", "entity_id", "day", "v", "venue", "class"), ["venue", "class"], "day", "v")
+            past = past.join(seen.select("contest_id", "entity_id", F.when(F.col("v").isNotNull(), F.col("z")).alias("z")), ["contest_id", "entity_id"], "left")
+        out = asof_reductions(past, "entity_id", "day", "contest_id", blocks, SOURCES)
+        if targets is not None:
+            out = out.join(wanted_contests, "contest_id", "left_semi")
+    for name, (keys, rates) in SUM_BLOCKS.items():
+        if name in need:
+            sums = {f"__{i}_{side}": F.sum(F.expr(e[side])) for i, e in enumerate(rates.values()) for side in (0, 1)}
+            daily = history(keys).groupBy(*keys, "day").agg(F.count("*").alias("__s"), *[c.alias(n) for n, c in sums.items()])
             w = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-            starts = F.coalesce(F.sum("s").over(w), F.lit(0))
-            out = out.join(daily.select(*keys, "day", starts.alias(f"{name}_starts"), F.try_divide(F.sum("h").over(w), starts).alias(f"{name}_rate")), [*keys, "day"])
+            before = lambda c: F.sum(c).over(w)
+            daily = daily.select(*keys, "day", F.coalesce(before("__s"), F.lit(0)).alias(f"{name}_starts"), *[F.try_divide(before(f"__{i}_0"), before(f"__{i}_1")).alias(f"{name}_{c}") for i, c in enumerate(rates)])
+            narrow = at.select(*dict.fromkeys(["contest_id", "entity_id", *keys, "day"]))
+            found = join_same(narrow, daily, [*keys, "day"]).select("contest_id", "entity_id", f"{name}_starts", *[f"{name}_{c}" for c in rates])
+            out = out.join(found, ["contest_id", "entity_id"], "left")
+    for c in wanted:
+        if c in DERIVED:
+            out = out.withColumn(c, F.expr(DERIVED[c][0]))
     for c in FIELD_BLOCK:
         if f"{c}_vs_field" in wanted:
             out = loo_mean(out, "contest_id", c, "__m").withColumn(f"{c}_vs_field", F.col(c) - F.col("__m")).drop("__m")
-    return out.select("contest_id", "entity_id", *wanted)
+    return out.select("contest_id", "entity_id", *[tagged(F.col(c), c, *AVAILABLE[c]) for c in wanted])
+
+
+def taken(agg: str, k: int | None):
+    if agg == "shrunk":
+        return lambda w: last(k, "sum(x)")(w) / (last(k, "count(x)")(w) + 5)
+    return x_now if agg == "now" else last(k, AGGREGATES[agg])
+
+
+def told(c: str) -> Column:
+    """A column to six digits; halves of the last digit, which shares of small numbers often are, are lifted off the edge."""
+    return (F.round(F.col(c).cast("double") + 1e-9, 6) + F.lit(0.0)).alias(c)
 
 
 def full_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = asof_matrix(market(spark, sf_dir))
-    return df.select("contest_id", "entity_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in matrix_columns()])
+    return df.select("contest_id", "entity_id", *[told(c) for c in matrix_columns()])
 
 
 def projected_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contests of one year, and the columns that one model reads."""
     rows = market(spark, sf_dir)
     df = asof_matrix(rows, PROJECTED, rows.filter("year(day) = 1997").select("contest_id"))
-    return df.select("contest_id", "entity_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in PROJECTED])
+    return df.select("contest_id", "entity_id", *[told(c) for c in PROJECTED])
 
 
 PROJECTED = ["form_mean3", "career_rate", "agent_rate", "career_rate_vs_field"]
@@ -191,35 +257,38 @@ p AS (SELECT l.*, x.class AS c, x.agent_id AS a, x.weight AS w, x.distance AS d,
 
 def _matrix_sql(columns: list[str], where: str = "true") -> str:
     """Every feature by its definition: rows of earlier days, looked up for each row by joins and lists."""
-    lists = {
-        "form": "finish_order", "wins": "won", "market": "ln(q * n)", "gain": "line - finish_order", "load": "weight",
-        "pace": "CASE WHEN result_status = 'finished' THEN price / weight - (SELECT avg(y.price / y.weight) FROM market y WHERE y.contest_id = m.contest_id AND y.result_status = 'finished') END",
-    }
-    tail = lambda v, k: f"{v}_l[-{k}:]"
-    take = {
-        "form_last": "form_l[-1]", "form_mean3": f"list_avg({tail('form', 3)})", "form_best5": f"list_min({tail('form', 5)})", "win_rate5": f"list_avg({tail('wins', 5)})", "support_last": "market_l[-1]",
-        "support_best5": f"list_max({tail('market', 5)})", "support_career": "list_sum(market_l) / (len(market_l) + 5)", "pace_mean5": f"list_avg({tail('pace', 5)})", "pace_min5": f"list_min({tail('pace', 5)})",
-        "gain_mean": "list_avg(gain_l)", "gain_best": "list_max(gain_l)", "weight_last": "load_l[-1]",
-    }
-    values = ", ".join(f"cast({e} AS double) AS {n}_x" for n, e in lists.items())
-    held = ", ".join(f"list(b.{n}_x ORDER BY b.day, b.contest_id) FILTER (b.{n}_x IS NOT NULL) AS {n}_l" for n in lists)
-    ctes = [f"e AS (SELECT m.*, CASE WHEN distance <= 1400 THEN 1 WHEN distance <= 1800 THEN 2 WHEN distance <= 2200 THEN 3 ELSE 4 END AS band, {values} FROM market m)",
+    duck = {"now": "{l}[-1]", "mean": "list_avg({l})", "best": "list_max({l})", "least": "list_min({l})", "spread": "list_aggregate({l}, 'stddev_samp')", "shrunk": "list_sum({l}) / (len({l}) + 5)"}
+    date = lambda e: e.replace("datediff(day, date '1992-01-01')", "datediff('day', date '1992-01-01', day)")
+    values = ", ".join(f"cast({date(e)} AS double) AS {n}_x" for n, (e, _, _) in ENTITY_BLOCKS.items())
+    held = ", ".join(f"list(b.{n}_x ORDER BY b.day, b.contest_id) FILTER (b.{n}_x IS NOT NULL) AS {n}_l" for n in ENTITY_BLOCKS)
+    rel = "CASE WHEN result_status = 'finished' THEN price / weight - avg(CASE WHEN result_status = 'finished' THEN price / weight END) OVER (PARTITION BY contest_id) END"
+    cell = "PARTITION BY venue, class ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING"
+    z = "CASE WHEN count(price / weight) OVER w >= 50 AND stddev_pop(price / weight) OVER w > 1e-9 THEN least(5e0, greatest(-5e0, (price / weight - avg(price / weight) OVER w) / stddev_pop(price / weight) OVER w)) END"
+    ctes = [f"e0 AS (SELECT *, CASE WHEN distance <= 1400 THEN 1 WHEN distance <= 1800 THEN 2 WHEN distance <= 2200 THEN 3 ELSE 4 END AS band, {rel} AS rel, {z} AS z FROM market WINDOW w AS ({cell}))", f"e AS (SELECT *, {values} FROM e0)",
             f"h AS (SELECT a.contest_id, a.entity_id, {held} FROM e a JOIN e b ON a.entity_id = b.entity_id AND b.day < a.day GROUP BY a.contest_id, a.entity_id)"]
-    joins, cols = ["LEFT JOIN h ON h.contest_id = e.contest_id AND h.entity_id = e.entity_id"], [f"{v} AS {c}" for c, v in take.items()]
-    for name, (keys, hit) in SUM_BLOCKS.items():
-        on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
-        group = ", ".join(f"a.{k}" for k in keys)
-        ctes.append(f"d_{name} AS (SELECT {', '.join(keys)}, day, count(*) AS s, sum({hit}) AS h FROM e GROUP BY {', '.join(keys)}, day)")
-        ctes.append(f"b_{name} AS (SELECT {group}, a.day, sum(b.s) AS s, sum(b.h) AS h FROM d_{name} a JOIN d_{name} b ON {on} AND b.day < a.day GROUP BY {group}, a.day)")
-        joins.append(f"LEFT JOIN b_{name} ON {' AND '.join(f'b_{name}.{k} = e.{k}' for k in keys)} AND b_{name}.day = e.day")
-        cols += [f"coalesce(b_{name}.s, 0) AS {name}_starts", f"cast(b_{name}.h AS double) / b_{name}.s AS {name}_rate"]
-    ctes.append(f"f AS (SELECT e.contest_id, e.entity_id, e.day, e.weight, {', '.join(cols)} FROM e {' '.join(joins)})")
-    field = [f"{c} - (SELECT avg(o.{c}) FROM f o WHERE o.contest_id = f.contest_id AND o.entity_id <> f.entity_id) AS {c}_vs_field" for c in FIELD_BLOCK if f"{c}_vs_field" in columns]
-    ctes.append(f"g AS (SELECT f.*{''.join(', ' + x for x in field)} FROM f)")
-    return f"WITH {', '.join(ctes)} SELECT contest_id, entity_id, {', '.join(f'round(cast({c} AS double), 9) + 0e0 AS {c}' for c in columns)} FROM g WHERE {where}"
-
-
+    joins = ["LEFT JOIN h ON h.contest_id = e.contest_id AND h.entity_id = e.entity_id"]
+    cols = [f"{duck[agg].format(l=f'{b}_l' if k is None or agg == 'now' else f'{b}_l[-{k}:]')} AS {c}" for b, (_, _, takes) in ENTITY_BLOCKS.items() for c, (agg, k) in takes.items()]
+    for name, (keys, rates) in SUM_BLOCKS.items():
+        on, group = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in keys), ", ".join(f"a.{k}" for k in keys)
+        each = "".join(f", sum({e[side]}) AS s{i}_{side}" for i, e in enumerate(rates.values()) for side in (0, 1))
+        total = "".join(f", sum(b.s{i}_{side}) AS s{i}_{side}" for i in range(len(rates)) for side in (0, 1))
+        ctes.append(f"d_{name} AS (SELECT {', '.join(keys)}, day, count(*) AS s{each} FROM e GROUP BY {', '.join(keys)}, day)")
+        ctes.append(f"b_{name} AS (SELECT {group}, a.day, sum(b.s) AS s{total} FROM d_{name} a JOIN d_{name} b ON {on} AND b.day < a.day GROUP BY {group}, a.day)")
+        joins.append(f"LEFT JOIN b_{name} ON {' AND '.join(f'b_{name}.{k} IS NOT DISTINCT FROM e.{k}' for k in keys)} AND b_{name}.day = e.day")
+        cols += [f"coalesce(b_{name}.s, 0) AS {name}_starts", *[f"cast(b_{name}.s{i}_0 AS double) / b_{name}.s{i}_1 AS {name}_{c}" for i, c in enumerate(rates)]]
+    ctes.append(f"f0 AS (SELECT e.contest_id, e.entity_id, e.day, e.weight, e.distance, e.class, e.n, e.q, e.popularity, {', '.join(cols)} FROM e {' '.join(joins)})")
+    ctes.append(f"f AS (SELECT *, {', '.join(f'{date(e)} AS {c}' for c, (e, _, _) in DERIVED.items())} FROM f0)")
+    field = [f"{c} - (sum({c}) OVER w - coalesce({c}, 0)) / nullif(count({c}) OVER w - CASE WHEN {c} IS NULL THEN 0 ELSE 1 END, 0) AS {c}_vs_field" for c in FIELD_BLOCK if f"{c}_vs_field" in columns]
+    ctes.append(f"g AS (SELECT f.*{''.join(', ' + x for x in field)} FROM f WINDOW w AS (PARTITION BY contest_id))")
+    return f"WITH {', '.join(ctes)} SELECT contest_id, entity_id, {', '.join(f'round(cast({c} AS double) + 1e-9, 6) + 0e0 AS {c}' for c in columns)} FROM g WHERE {where}"
+
+
+_FIGURE = """WITH v AS (SELECT contest_id, entity_id, {value} AS v, count({value}) OVER w AS n, avg({value}) OVER w AS mean, stddev_pop({value}) OVER w AS sd FROM runs WHERE {where}
+  WINDOW w AS (PARTITION BY {cell} ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING))
+SELECT contest_id, entity_id, CASE WHEN n >= 50 AND sd > 1e-9 THEN round(least(5.0, greatest(-5.0, (v - mean) / sd)), 4) END AS z FROM v"""
 SQL = {
+    "speed_figure": _FIGURE.format(value="(price / weight)", cell="venue, class", where="true"),
+    "closing_figure": _FIGURE.format(value="odds", cell="class", where="result_status = 'finished'"),
     "class_change": _PREVIOUS + "SELECT contest_id, entity_id, cast(substring(class, 1, 1) AS bigint) - cast(substring(c, 1, 1) AS bigint) AS class_step, CASE WHEN agent_id <> a THEN 1 ELSE 0 END AS agent_changed FROM p",
     "condition_change": _PREVIOUS + """SELECT contest_id, entity_id, round(weight - w, 6) AS weight_change, greatest(weight - w, 0e0) AS weight_up, distance - d AS distance_change,
 CASE WHEN venue <> v THEN 1 ELSE 0 END AS venue_switch, greatest(distance - d, 0) * li AS extension_by_style, CASE WHEN w IS NULL THEN 0 ELSE 1 END AS seen FROM p""",

@@ -27,21 +27,21 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     from .operators import asof
-    from .plans import bets, blocks, features, intake, markets, readouts, reports, scores
+    from .plans import bets, blocks, features, intake, markets, models, readouts, reports, scores
     from .sources import loads
     from .sources.panel import run, runs, with_parts
-    from .streaming import quotes
+    from .streaming import quotes, windows
 
     for name, body in {**features.SQL, **markets.SQL, **reports.SQL}.items():
         spark_body = body.replace("datediff('day', ", "datediff(DAY, ").replace("varchar(9)", "string").replace(" // ", " div ").replace("json_extract_string(", "get_json_object(")
         register(name, lambda s, d, b=spark_body: run(s, d, b), with_parts(body))
 
     # DataFrame jobs; their oracles are the SQL of the same name above, or their own
-    for module in (blocks, scores, bets, intake, readouts):
+    for module in (blocks, scores, bets, intake, readouts, models):
         for name, query in module.QUERIES.items():
-            register(name, query, with_parts(module.SQL[name]) if name in module.SQL else _oracles[name])
+            register(name, query, with_parts(module.SQL[name]) if name in module.SQL else _oracles.get(name))
 
-    for module in (loads, quotes):
+    for module in (loads, quotes, windows):
         for name, query in module.QUERIES.items():
             register(name, query, module.ORACLE_SQL[name])
 

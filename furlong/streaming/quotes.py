@@ -7,28 +7,59 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..sources.places import work_dir
 
 
-def keyed_state(stream: DataFrame, keys: list[str], value: Column, order: Column, path: str) -> DataFrame:
+def keyed_state(stream: DataFrame, keys: list[str], value: Column, order: Column, path: str, buckets: int = 32) -> DataFrame:
     """The table (keys, state, at) with the value of largest ``order`` for each key, after all that the stream now holds.
 
-    Each micro-batch is first cut to one row a key, then merged with the version before it and written as a new version, so
-    a repeated batch gives the same version and an event older than the stored one changes nothing."""
+    Keys are dealt over ``buckets``. Each micro-batch is first cut to one row a key, merged with the stored rows of the buckets
+    that it touches, and written as new files of those buckets; then a manifest tells which batch wrote each bucket's newest
+    files. A repeated batch starts from the manifest before it and gives the same table; an event older than the stored one
+    changes nothing; called again on the same path without new data, the stored table comes back. Files that neither
+    the newest manifest nor the one before names are deleted."""
     spark = stream.sparkSession
+    rows = stream.select(*keys, value.alias("state"), order.alias("at"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     latest = [F.max_by("state", "at").alias("state"), F.max("at").alias("at")]
+    at = lambda n, b: f"{path}/v{n}/bucket={b}"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        base, before = manifest(spark, path, number)
+        batch.groupBy(*keys).agg(*latest).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).write.mode("overwrite").parquet(f"{path}/batch")
+        new = spark.read.schema(schema + ", bucket int").parquet(f"{path}/batch")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        for b in touched:
+            if b in before:
+                new = new.unionByName(spark.read.schema(schema).parquet(at(before[b], b)).withColumn("bucket", F.lit(b)))
+        if touched:
+            new.groupBy(*keys, "bucket").agg(*latest).repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{number}")
+        now = before | dict.fromkeys(touched, number)
+        spark.createDataFrame([(b, n) for b, n in now.items()], "bucket int, number long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/n{number}")
+        for b, n in manifest(spark, path, base)[1].items():
+            if before[b] != n:
+                discard(spark, at(n, b))
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.groupBy(*keys).agg(*latest)
-        if batch_id:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v{batch_id - 1}")).groupBy(*keys).agg(*latest)
-        rows.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        done.append(batch_id)
-
-    done: list[int] = []
-    rows = stream.select(*keys, value.alias("state"), order.alias("at"))
     query = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    if not done:
+    _, newest = manifest(spark, path, None)
+    if not newest:
         return spark.createDataFrame([], rows.schema)
-    return spark.read.parquet(f"{path}/v{max(done)}")
+    return spark.read.schema(schema).parquet(*[at(n, b) for b, n in newest.items()])
+
+
+def manifest(spark: SparkSession, path: str, before: int | None) -> tuple[int, dict[int, int]]:
+    """(its number, batch of each bucket's newest files) of the newest finished manifest, or of the newest below ``before``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    numbers = [int(p.getName()[1:]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    newest = max((n for n in numbers if before is None or n < before), default=-1)
+    if newest < 0:
+        return -1, {}
+    return newest, {r["bucket"]: r["number"] for r in spark.read.schema("bucket int, number long").parquet(f"{path}/manifest/n{newest}").collect()}
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
