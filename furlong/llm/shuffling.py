@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .work import discard, materialize
 
 
+#: Size that one task of the second pass is given at most, as the session's number of partitions may be too small.
+TASK_SIZE = 64 << 20
+
+
 def external_shuffle(
     rows: DataFrame, n_shards: int, *, seed: int = 17, size: str = "1", bucket_size: int = 8 << 20, path: str | None = None,
 ) -> DataFrame:
@@ -15,7 +19,9 @@ def external_shuffle(
     Pass one scatters the rows uniformly into buckets of about ``bucket_size`` (the sum of the ``size`` expression) by a
     seeded hash of the row's place in the input, so that equal rows or keys scatter like any others. Pass two shuffles
     each bucket in memory (Fisher-Yates, ``shuffle(array, seed)``) and writes it. Buckets follow each other; shard k of n
-    has the ranks from k * rows / n to (k + 1) * rows / n. Only bucket counts are gathered, never rows.
+    has the ranks from k * rows / n to (k + 1) * rows / n. Only bucket counts are gathered, never rows. The number of
+    tasks grows with the size (TASK_SIZE each at most), and the same input files give the same order again, also
+    after an executor is lost.
 
     Nulls, repeated rows and very long texts are rows like any others; an empty table gives an empty result; columns named
     shard or slot are replaced. With ``path`` the shards are written there, by shard."""
@@ -23,10 +29,12 @@ def external_shuffle(
     own = [F.col(f"`{c}`") for c in rows.columns if c not in ("shard", "slot")]
     total = rows.agg(F.sum(F.expr(size)).cast("long")).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_size))
-    place = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
-    parts = max(1, min(n_buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    scattered = rows.select(F.struct(*own).alias("__row"), F.pmod(place, F.lit(n_buckets)).alias("__bucket")).repartition(parts, "__bucket")
-    shuffled = scattered.groupBy("__bucket").agg(F.shuffle(F.collect_list("__row"), F.lit(seed)).alias("__rows"))
+    parts = min(n_buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_SIZE))
+    numbered = rows.select(F.struct(*own).alias("__row"), F.monotonically_increasing_id().alias("__place"))
+    scattered = numbered.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("__place")), F.lit(n_buckets))).repartition(parts, "__bucket")
+    # rows reach a bucket in the order of the fetches: they are put in the order of their places before they are shuffled
+    gathered = F.transform(F.array_sort(F.collect_list(F.struct("__place", "__row")), lambda a, b: F.when(a["__place"] < b["__place"], -1).when(a["__place"] > b["__place"], 1).otherwise(0)), lambda x: x["__row"])
+    shuffled = scattered.groupBy("__bucket").agg(F.shuffle(gathered, F.lit(seed)).alias("__rows"))
     staged = materialize(shuffled.select("__bucket", F.posexplode("__rows").alias("__pos", "__row")))
 
     counts = staged.groupBy("__bucket").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("__bucket") / 1024))
