@@ -272,7 +272,7 @@ def write_token_planes(
     """Encode every text and write its ids in ascending ``id_col`` order below ``path``.
 
     A null text is empty and has the end id alone; a null id comes first, and rows that repeat an id follow each other
-    in no fixed order. An empty table gives an empty folder with a schema. Other columns are ignored.
+    in the order of a hash of their texts. An empty table gives an empty folder with a schema. Other columns are ignored.
     ``path/chunks`` has the chunks, ``path/index`` for each the global number of its first id, its ids and bytes.
     A chunk ends at the first document that fills ``chunk_ids`` ids and holds blocks of ``block`` ids."""
     spark = docs.sparkSession
@@ -307,7 +307,7 @@ def write_token_planes(
         if held:
             yield flush()
 
-    ordered = rows.repartitionByRange(n, "i").sortWithinPartitions("i")
+    ordered = rows.repartitionByRange(n, "i").sortWithinPartitions("i", F.xxhash64("t"))
     ordered.mapInArrow(encode, CHUNKS).write.option("compression", "none").parquet(f"{path}/chunks")
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
     sums = chunks.groupBy("pid").agg(F.sum("n_ids").alias("n"))
