@@ -32,9 +32,9 @@ def external_shuffle(
     parts = min(n_buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_SIZE))
     numbered = rows.select(F.struct(*own).alias("__row"), F.monotonically_increasing_id().alias("__place"))
     scattered = numbered.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("__place")), F.lit(n_buckets))).repartition(parts, "__bucket")
-    # rows reach a bucket in the order of the fetches: they are put in the order of their places before they are shuffled
-    gathered = F.transform(F.array_sort(F.collect_list(F.struct("__place", "__row")), lambda a, b: F.when(a["__place"] < b["__place"], -1).when(a["__place"] > b["__place"], 1).otherwise(0)), lambda x: x["__row"])
-    shuffled = scattered.groupBy("__bucket").agg(F.shuffle(gathered, F.lit(seed)).alias("__rows"))
+    # rows reach a task in the order of the fetches: sorted, buckets and their rows meet the seeded shuffle in one order always
+    ordered = scattered.sortWithinPartitions("__bucket", "__place")
+    shuffled = ordered.groupBy("__bucket").agg(F.shuffle(F.collect_list("__row"), F.lit(seed)).alias("__rows"))
     staged = materialize(shuffled.select("__bucket", F.posexplode("__rows").alias("__pos", "__row")))
 
     counts = staged.groupBy("__bucket").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("__bucket") / 1024))

