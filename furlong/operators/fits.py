@@ -108,14 +108,9 @@ class Fit(NamedTuple):
 FAR = 30.0
 
 
-def settled(theta: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, n: int, tolerance: float) -> str | None:
-    """Status where Newton steps may end: at a gradient below ``tolerance`` a contest, or beyond FAR spreads."""
-    spread = np.sqrt(np.maximum(np.diag(hessian), 0) / max(n, 1))
-    if n and (spread < 1e-6).all() and np.abs(theta).max(initial=0) > 1:
-        return "separable"
-    if np.abs(gradient).max(initial=0) <= tolerance * n:
-        return "fitted"
-    return None
+def flat(theta: np.ndarray, information: np.ndarray, scale: np.ndarray) -> bool:
+    """A coefficient has gone far (beyond 5 spreads) and the data no longer tell it from a larger one: the winners are separable."""
+    return bool(((np.abs(theta * scale) > 5) & (information <= 1e-6 * scale**2)).any())
 
 
 def fit_softmax(rows: DataFrame, contest: str, won: str, features: list[str], *, steps: int = 8, ridge: float = 1e-9, tolerance: float = 1e-8) -> Fit:
@@ -139,8 +134,8 @@ def fit_softmax(rows: DataFrame, contest: str, won: str, features: list[str], *,
             break
         g = np.array([got[f"g{i}"] for i in range(k)])
         h = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        if ended := settled(theta, g, h, got["n"], tolerance):
-            status = ended
+        if np.abs(g).max() <= tolerance * got["n"] or flat(theta, np.diag(h) / got["n"], scale):
+            status = "separable" if flat(theta, np.diag(h) / got["n"], scale) else "fitted"
             break
         theta, done = theta + np.linalg.solve(h + ridge * np.eye(k), g), done + 1
         if np.abs(theta * scale).max() > FAR:
@@ -158,21 +153,36 @@ def softmax_shares(rows: DataFrame, contest: str, features: list[str], theta: np
 
 
 def fit_platt(rows: DataFrame, p: str, label: str, *, steps: int = 8) -> tuple[float, float]:
-    """(slope, shift) of the logistic calibration of logit(p), by Newton steps from the identity. Scores are clipped away from 0
-    and 1; steps end where slope and shift cannot be told apart (one score only) or labels are all alike."""
+    """(slope, shift) of the logistic calibration of logit(p), by Newton steps from the identity; a step that makes the loss worse
+    is halved until it does not. Scores are clipped away from 0 and 1; steps end where slope and shift cannot be told
+    apart (one score only) or labels are all alike."""
+    x, y = clipped(F.col(p)), F.col(label).cast("double")
+    rows = rows.select(F.ln(x / (1 - x)).alias("z"), y.alias("y")).persist()
+
+    def sums(a: float, b: float):
+        u = F.col("z") * a + b
+        s = 1 / (1 + F.exp(-u))
+        v, d = s * (1 - s), F.col("y") - s
+        loss = F.sum(F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u))) - F.col("y") * u)
+        return rows.agg(loss.alias("loss"), F.sum(d * F.col("z")).alias("ga"), F.sum(d).alias("gb"), F.sum(v * F.col("z") * F.col("z")).alias("haa"), F.sum(v * F.col("z")).alias("hab"), F.sum(v).alias("hbb")).first()
+
     a, b = 1.0, 0.0
-    x = clipped(F.col(p))
-    rows = rows.select(F.ln(x / (1 - x)).alias("z"), F.col(label).cast("double").alias("y")).persist()
+    r = sums(a, b)
     for _ in range(steps):
-        s = 1 / (1 + F.exp(-(F.col("z") * a + b)))
-        v, d = s * (1 - s), F.col("y") - s
-        r = rows.agg(F.sum(d * F.col("z")).alias("ga"), F.sum(d).alias("gb"), F.sum(v * F.col("z") * F.col("z")).alias("haa"), F.sum(v * F.col("z")).alias("hab"), F.sum(v).alias("hbb")).first()
         if not r["hbb"]:
             break
         det = r["haa"] * r["hbb"] - r["hab"] ** 2
         if det <= 1e-12 * r["haa"] * r["hbb"]:
             break
-        a, b = a + (r["hbb"] * r["ga"] - r["hab"] * r["gb"]) / det, b + (r["haa"] * r["gb"] - r["hab"] * r["ga"]) / det
+        da, db = (r["hbb"] * r["ga"] - r["hab"] * r["gb"]) / det, (r["haa"] * r["gb"] - r["hab"] * r["ga"]) / det
+        for _ in range(40):
+            new = sums(a + da, b + db)
+            if new["loss"] <= r["loss"] * (1 + 1e-12):
+                break
+            da, db = da / 2, db / 2
+        else:
+            break
+        a, b, r = a + da, b + db, new
     rows.unpersist()
     return a, b
 

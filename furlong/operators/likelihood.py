@@ -10,7 +10,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .fits import FAR, Fit
+from .fits import FAR, Fit, flat
 
 
 class Candidate(NamedTuple):
@@ -97,10 +97,11 @@ def fit_candidates(rows: DataFrame, k: int, candidates: list[Candidate], *, step
                 fits[c], _ = Fit(theta, "no_samples", done), live.pop(c)
                 continue
             n, _, g, h = got[c]
+            gone = candidates[c].ridge == 0 and flat(theta, np.diag(h) / n, scale)
             own = list(range(k)) if candidates[c].use is None else list(candidates[c].use)
             g, h = (g / n - candidates[c].ridge * theta)[own], (h / n + (candidates[c].ridge + 1e-12) * np.eye(k))[np.ix_(own, own)]
-            if np.abs(g).max(initial=0) <= tolerance:
-                fits[c], _ = Fit(theta, "fitted", done), live.pop(c)
+            if np.abs(g).max(initial=0) <= tolerance or gone:
+                fits[c], _ = Fit(theta, "separable" if gone else "fitted", done), live.pop(c)
             elif done < steps:
                 theta = theta.copy()
                 theta[own] += np.linalg.solve(h, g)
