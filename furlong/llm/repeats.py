@@ -39,6 +39,9 @@ from .work import broadcast_if, discard, materialize
 #: to one task before they are dealt over several.
 TASK_WINDOWS, PART_CONTENTS, DEALT_CONTENTS = 2_000_000, 32, 1024
 
+#: Bytes of text that are hashed at once: some 80 bytes are held for each symbol.
+SLICES = {"word": 2 << 20, "byte": 1 << 19}
+
 
 def shard_spans(ids: np.ndarray, parts: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int]]:
     """(part, start, end) of the spans of each part that stand in a part with a smaller id, for parts in ascending order of
@@ -152,7 +155,7 @@ def find_repeats(
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, th = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for lo, _, data, offs in text_slices(b.column(2)):
+            for lo, _, data, offs in text_slices(b.column(2), SLICES[unit]):
                 d, a, n, anchor, content, inner = window_runs(*symbols(data, offs, unit), window, k)
                 if len(d):
                     yield pa.RecordBatch.from_arrays(
@@ -186,7 +189,7 @@ def find_repeats(
             lists = b.column(3)
             ends, flat = np.asarray(lists.offsets), lists.values
             field = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("a", "n", "anchor", "n_contents", "by_shard")}
-            for lo, hi, data, offs in text_slices(b.column(2)):
+            for lo, hi, data, offs in text_slices(b.column(2), SLICES[unit]):
                 sym, at = symbols(data, offs, unit)
                 roll = Rolling(sym)
                 r = np.arange(ends[lo], ends[hi])
