@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .automata import SuffixAutomaton
-from .vec import BYTE_VALUES, Rolling, blobs, expand, mix, owners, signed, text_slices, word_bounds, word_hashes
+from .vec import BYTE_VALUES, Rolling, blobs, expand, give_back, mix, owners, signed, text_slices, word_bounds, word_hashes
 from .work import broadcast_if, discard, materialize
 
 #: About as many window hashes go to one task of step 3, contents of an anchor to one part of it, and holders of one window
@@ -162,6 +162,7 @@ def find_repeats(
                         [pa.array(x) for x in (ids[lo + d], th[lo + d], a.astype(np.int32), n.astype(np.int32), signed(anchor), signed(content), inner & (not earlier_only))],
                         ["doc_id", "th", "a", "n", "anchor", "content", "inner"],
                     )
+        give_back()
 
     runs = materialize(rows.select("doc_id", "th", "t").mapInArrow(runs_of, "doc_id long, th long, a int, n int, anchor long, content long, inner boolean"))
     holder = F.struct("doc_id", "th", "a")
@@ -224,6 +225,7 @@ def find_repeats(
                 route = (key >> np.uint64(40)).astype(np.int64)
                 if len(route):
                     yield by_route(np.where(salts > 1, -1 - route, route), h, anchor, ids[row], th[row], start.astype(np.int32))
+        give_back()
 
     def packed(ids: np.ndarray, th: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
         """Spans, sorted by (id, text), as a row for each text."""
@@ -240,6 +242,8 @@ def find_repeats(
             own = windows.filter(pc.less(windows.column("route"), 0) if dealt else pc.greater_equal(windows.column("route"), 0))
             if own.num_rows:
                 yield from match_windows(own, dealt)
+        del held, shards, windows, own
+        give_back()
 
     def joined(t: pa.Table, name: str, kind: type) -> np.ndarray:
         return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)

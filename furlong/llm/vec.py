@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,14 @@ class Rolling:
         return (self.prefix[k:] - self.prefix[: max(n, 0)]) * self.inverse[: max(n, 0)] if n > 0 else np.zeros(0, np.uint64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: an idle worker process would else keep what its largest took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
 def text_slices(col: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) in pieces of about ``most`` bytes; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
