@@ -18,13 +18,14 @@ RANK = "CASE WHEN n > 1 THEN 1 - cast(rank() OVER (PARTITION BY contest_id ORDER
 x_now = lambda w: F.col("x")
 
 
-def reductions_of(source: str, of: str, /, **reductions):
-    """A query for one block of reductions over ``runs`` or ``market``."""
+def reductions_of(source: str, of: str, /, lift: float = 0.0, **reductions):
+    """A query for one block of reductions over ``runs`` or ``market``; ``lift`` moves halves of the last digit off the edge."""
     read = {"runs": runs, "market": market}[source]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = asof_reductions(read(spark, sf_dir), "entity_id", "day", "contest_id", {"v": (of, reductions)})
-        return df.select("contest_id", "entity_id", *[six(F.col(n)).alias(n) for n in reductions])
+        # the value first: it may hold a window of its own, over the panel as it is stored
+        df = asof_reductions(read(spark, sf_dir).withColumn("value", F.expr(of)), "entity_id", "day", "contest_id", {"v": ("value", reductions)})
+        return df.select("contest_id", "entity_id", *[six(F.col(n) + lift if lift else F.col(n)).alias(n) for n in reductions])
 
     return query
 
@@ -236,7 +237,7 @@ QUERIES = {
     "aptitude_by_band": cell_rate("entity_id", "band"), "aptitude_by_venue_band": cell_rate("venue", "band"),
     "recent_form_3": one("finish_order", "avg(x)", 3), "recent_win_rate_5": one("cast(won AS double)", "avg(x)", 5),
     "past_market_5": one("cast(popularity AS double)", "avg(x)", 5), "best_last_5": one("cast(popularity AS double)", "min(x)", 5),
-    "pace_block": reductions_of("runs", RELATIVE, mean5=last(5, "avg(x)"), min5=last(5, "min(x)"), front_rate=last(None, "avg(CASE WHEN x < 0 THEN 1e0 ELSE 0e0 END)")),
+    "pace_block": reductions_of("runs", RELATIVE, lift=1e-9, mean5=last(5, "avg(x)"), min5=last(5, "min(x)"), front_rate=last(None, "avg(CASE WHEN x < 0 THEN 1e0 ELSE 0e0 END)")),
     "trajectory_block": reductions_of("runs", "cast(line - finish_order AS double)", mean_gain=last(None, "avg(x)"), best_gain=last(None, "max(x)")),
     "support_reductions": reductions_of(
         "market", "ln(q * n)", last1=x_now, mean3=lambda w: last(3, "sum(x)")(w) / (last(3, "count(x)")(w) + 1),

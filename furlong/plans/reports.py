@@ -32,7 +32,7 @@ ENTROPY = "SELECT contest_id, min(day) AS day, max(n) AS n, round(-sum(q * ln(q)
 LOSSES = "SELECT year(day) AS y, avg(-(won * ln(p) + (1 - won) * ln(1 - p))) AS loss_p, avg(-(won * ln(q) + (1 - won) * ln(1 - q))) AS loss_q FROM market WHERE n > 1 GROUP BY year(day)"
 
 SQL = {
-    "pace_block": asof_block(RELATIVE, {"mean5": f"avg(x) {last(5)}", "min5": f"min(x) {last(5)}", "front_rate": f"avg(CASE WHEN x < 0 THEN 1e0 ELSE 0e0 END) {last(None)}"}),
+    "pace_block": asof_block(RELATIVE, {"mean5": f"avg(x) {last(5)}", "min5": f"min(x) {last(5)}", "front_rate": f"avg(CASE WHEN x < 0 THEN 1e0 ELSE 0e0 END) {last(None)}"}, {n: f"round({n} + 1e-9, 6) + 0e0" for n in ("mean5", "min5", "front_rate")}),
     "trajectory_block": asof_block(
         "SELECT entity_id, day, contest_id, cast(line - finish_order AS double) AS x FROM runs WHERE finish_order IS NOT NULL",
         {"mean_gain": f"avg(x) {last(None)}", "best_gain": f"max(x) {last(None)}"},
