@@ -24,7 +24,7 @@ def reductions_of(source: str, of: str, /, lift: float = 0.0, **reductions):
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         # the value first: it may hold a window of its own, over the panel as it is stored
-        df = asof_reductions(read(spark, sf_dir).withColumn("value", F.expr(of)), "entity_id", "day", "contest_id", {"v": ("value", reductions)})
+        df = asof_reductions(read(spark, sf_dir).withColumn("source_value", F.expr(of)), "entity_id", "day", "contest_id", {"v": ("source_value", reductions)})
         return df.select("contest_id", "entity_id", *[six(F.col(n) + lift if lift else F.col(n)).alias(n) for n in reductions])
 
     return query
