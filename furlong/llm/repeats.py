@@ -234,19 +234,30 @@ def find_repeats(
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(batches), SENT_SCHEMA)  # about TASK_WINDOWS hashes, or what as many windows cover
-        shards = held.filter(pc.is_valid(held.column("n")))
+        shards = kept(held, pc.is_valid(held.column("n")))
         if shards.num_rows:
             yield from match_shards(shards)
-        windows = held.filter(pc.is_null(held.column("n")))
+        held = kept(held, pc.is_null(held.column("n")))
         for dealt in (True, False):
-            own = windows.filter(pc.less(windows.column("route"), 0) if dealt else pc.greater_equal(windows.column("route"), 0))
+            own = kept(held, pc.less(held.column("route"), 0) if dealt else pc.greater_equal(held.column("route"), 0))
             if own.num_rows:
                 yield from match_windows(own, dealt)
-        del held, shards, windows, own
+        del held, shards, own
         give_back()
 
+    def kept(t: pa.Table, mask: pa.ChunkedArray) -> pa.Table:
+        """The rows of a mask, without a copy where it takes all or none."""
+        n = pc.sum(mask).as_py() or 0
+        return t if n == t.num_rows else t.filter(mask) if n else t.slice(0, 0)
+
     def joined(t: pa.Table, name: str, kind: type) -> np.ndarray:
-        return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
+        """The values of all rows one behind the other, from the column's own memory."""
+        parts = [np.zeros(0, kind)]
+        for c in t.column(name).chunks:
+            at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            if len(c) and at[-1] > at[0]:
+                parts.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind))
+        return np.concatenate(parts)
 
     def match_shards(t: pa.Table) -> Iterator[pa.RecordBatch]:
         sym, anchor, ids, th, start, n = (joined(t, c, k) for c, k in zip(SENT[1:], (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32), strict=True))
