@@ -115,3 +115,36 @@ def percentile_within(value: Column, edges: Column) -> Column:
     below = F.size(F.filter(edges, lambda e: e <= value))
     lo, hi = F.element_at(edges, F.greatest(below, F.lit(1))), F.try_element_at(edges, F.least(below + 1, k + 1))
     return F.when(value.isNull() | (k < 1), None).when(below == 0, 0.0).when(below == k + 1, 1.0).otherwise((below - 1 + (value - lo) / (hi - lo)) / k)
+
+
+#: What marks a jump contest in names and in classes.
+JUMP_NAMES, JUMP_CLASSES = "障害|ジャンプ|ハードル|大障", ("JG1", "JG2", "JG3")
+
+
+def track_type(surface: Column, klass: Column, *names: Column) -> Column:
+    """The surface as given (trimmed; empty is null), or '障' for a jump contest, which only its names or its class tell. ``klass`` may be in full-width
+    letters."""
+    jump = F.coalesce(F.trim(half_width(klass)).isin(*JUMP_CLASSES), F.lit(False))
+    for name in names:
+        jump = jump | F.coalesce(name.rlike(JUMP_NAMES), F.lit(False))
+    given = F.trim(surface)
+    return F.when(jump, "障").when(given != "", given)
+
+
+def hrefs(html: Column) -> Column:
+    """The targets of all quoted href attributes of a page, in order; null for a null page."""
+    return F.regexp_extract_all(html, F.lit(r"""(?i)\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
+
+
+def href_id(href: Column, segment: str) -> Column:
+    """The word behind /segment/ in a link; null where there is none."""
+    found = F.regexp_extract(href, rf"/{segment}/(?:result/recent/)?(\w+)", 1)
+    return F.when(found != "", found)
+
+
+def canonical_href(html: Column) -> Column:
+    """The target of the page's canonical link, whichever of its attributes stands first; null where there is none."""
+    rel, to = r"""rel\s*=\s*["']canonical["']""", r"""href\s*=\s*["']([^"']*)["']"""
+    a = F.regexp_extract(html, rf"(?i)<link\b[^>]*{rel}[^>]*{to}", 1)
+    b = F.regexp_extract(html, rf"(?i)<link\b[^>]*{to}[^>]*{rel}", 1)
+    return F.when(a != "", a).when(b != "", b)

@@ -27,7 +27,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     from .operators import asof
-    from .plans import bets, blocks, features, intake, markets, models, readouts, reports, scores
+    from .plans import accuracy, bets, blocks, features, intake, markets, models, readouts, reports, scores
     from .sources import loads
     from .sources.panel import run, runs, with_parts
     from .streaming import quotes, windows
@@ -37,7 +37,7 @@ def _load() -> None:
         register(name, lambda s, d, b=spark_body: run(s, d, b), with_parts(body))
 
     # DataFrame jobs; their oracles are the SQL of the same name above, or their own
-    for module in (blocks, scores, bets, intake, readouts, models):
+    for module in (blocks, scores, bets, intake, readouts, models, accuracy):
         for name, query in module.QUERIES.items():
             register(name, query, with_parts(module.SQL[name]) if name in module.SQL else _oracles.get(name))
 
