@@ -28,11 +28,12 @@ def last_starts(runs: DataFrame, entity: str, day: str, tie: str, keep: list[str
     One exchange by entity serves all of it: the frame of a row ends the day before, so starts of one day don't see each other."""
     at = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
     w = Window.partitionBy(entity).orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
+    dated = F.col("__at").isNotNull()  # undated rows stand in every frame and count in none
     df = runs.withColumn("__at", at).withColumn("prev_day", F.max(day).over(w))
-    df = df.withColumn("__last", F.max(F.struct(F.col("__at"), F.col(tie), F.col("prev_day").alias("before"), *keep)).over(w)).withColumn("__n", F.count("*").over(w))
-    met = {f"__c_{n}": F.count_if(c).over(w) for n, c in (count or {}).items()}
+    df = df.withColumn("__last", F.max(F.when(dated, F.struct(F.col("__at"), F.col(tie), F.col("prev_day").alias("before"), *keep))).over(w)).withColumn("__n", F.count("__at").over(w))
+    met = {f"__c_{n}": F.count_if(c & dated).over(w) for n, c in (count or {}).items()}
     df = df.withColumns(met) if met else df
-    known = F.col(entity).isNotNull() & F.col("__at").isNotNull()
+    known = F.col(entity).isNotNull() & dated
     out = {"prior_starts": F.col("__n"), "prev_day": F.col("prev_day"), "prior_gap": F.datediff("prev_day", F.col("__last.before"))} | {f"prior_{n}": F.col(f"__c_{n}") for n in count or {}} | {f"prev_{c}": F.col(f"__last.{c}") for c in keep}
     return df.select(*runs.columns, *[F.when(known, c).alias(n) for n, c in out.items()])
 
