@@ -21,6 +21,28 @@ def selection_key(selection: Column) -> Column:
     return F.array_join(selection.cast("array<string>"), "-")
 
 
+def expected_count(bet_type: Column, n: Column) -> Column:
+    """How many selections of a bet type a field of n has; null for a type that is not known."""
+    out = None
+    for name, (k, ordered) in BET_TYPES.items():
+        ways = F.lit(1)
+        for j in range(k):
+            ways = ways * F.when(n > j, n - j).when(n <= j, 0)
+        ways = ways if ordered else F.floor(ways / (1, 1, 2, 6)[k])
+        out = (F.when if out is None else out.when)(bet_type == name, ways.cast("long"))
+    return out
+
+
+def coverage(dividends: DataFrame, fields: DataFrame, contest: str) -> DataFrame:
+    """(contest, bet_type, listed, expected, scope): distinct canonical selections of each contest and type against what the field (contest, n)
+    has; scope is 'full', 'partial', 'excess', or null without a field or a known type."""
+    one = dividends.select(contest, "bet_type", canonical(F.col("bet_type"), F.col("selection")).alias("selection")).filter("selection is not null").distinct()
+    out = one.groupBy(contest, "bet_type").agg(F.count("*").alias("listed")).join(fields.select(contest, "n"), contest, "left")
+    out = out.withColumn("expected", expected_count(F.col("bet_type"), F.col("n")))
+    listed, expected = F.col("listed"), F.col("expected")
+    return out.select(contest, "bet_type", "listed", "expected", F.when(listed == expected, "full").when(listed < expected, "partial").when(listed > expected, "excess").alias("scope"))
+
+
 def outcomes(entries: DataFrame, contest: str, entity: str, order: str, started: str) -> DataFrame:
     """(contest, n, depth, top1, top2, top3, placed, voided): the finishers of the first ranks, each null unless every rank
     up to it is held by one entry; who placed (null on a dead heat across the last paying place); and who did not start."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as t
-from ..operators import cohort, joint, segments as sg
-from ..sources import scoring
+from ..operators import betting as bt, cohort, joint, segments as sg
+from ..sources import repair, scoring
 from ..sources.panel import market, panel, runs
 from ..sources.places import work_dir
 from .intake import table
@@ -121,7 +121,40 @@ def importance_list(s: SparkSession, d: str) -> DataFrame:
     return one.select("y", place.alias("place"), "feature", (F.col("gain") + 0.0).alias("gain"))
 
 
-QUERIES = {f.__name__: f for f in (segment_axes, segment_axes_by_year, cohort_report, scoring_log, page_link_ids, importance_list)}
+def split_customers(s: SparkSession, d: str) -> DataFrame:
+    """Customers whose id is split from the next lower multiple of 4: which pairs move, and their facts (orders, and the parts bought) under
+    the canonical id afterwards."""
+    orders = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    bought = orders.join(table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey").select("c_custkey", "l_partkey").distinct()
+    k = F.col("c_custkey")
+    dim = table(s, d, "customer").select("c_custkey", F.when(k % 5 != 0, F.col("c_nationkey")).alias("nation"), F.col("c_name").alias("name"))
+    ids = dim.select(k.alias("source_id"), (k - k % 4).alias("canonical_id"), F.when(k % 3 == 0, "mapped").otherwise("unmapped").alias("status"))
+    pairs = repair.judge(ids, dim, "c_custkey", ["nation", "name"], {"orders": (orders, ["o_orderkey"]), "bought": (bought, ["c_custkey", "l_partkey"])})
+    after = repair.move(pairs, orders, "c_custkey").groupBy(k.alias("canonical_id")).agg(F.count("*").alias("orders_after"))
+    return pairs.join(after, "canonical_id", "left").select("source_id", "canonical_id", "reason", "lost", "rows", F.coalesce("orders_after", F.lit(0)).alias("orders_after"))
+
+
+def dividend_coverage(s: SparkSession, d: str) -> DataFrame:
+    """Listed pairs of each contest against those its field has; pairs whose ids sum to a multiple of 11 are not listed."""
+    q = joint.quinella(market(s, d), p="q").filter("(low + high) % 11 <> 0")
+    both = F.explode(F.array(*[F.struct(F.lit(t_).alias("bet_type"), F.array(a, b).alias("selection")) for t_, a, b in (("quinella", "low", "high"), ("quinella", "high", "low"), ("exacta", "low", "high"), ("exacta", "high", "low"))]))
+    rows = q.select("contest_id", both.alias("__b")).select("contest_id", "__b.*")
+    return bt.coverage(rows, market(s, d).groupBy("contest_id").agg(F.count("*").alias("n")), "contest_id")
+
+
+def result_summary(s: SparkSession, d: str) -> DataFrame:
+    """Each contest's finish by entity, its winners, whether it has results, and its latest line, with whether the canonical field of the model
+    (p) is that of the market (q, where odds of 2 and more alone count)."""
+    ids = lambda c: F.array_sort(F.collect_set(c))
+    e, pair = F.col("entity_id"), F.struct("entity_id", "finish_order")
+    c = runs(s, d).groupBy("contest_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("finish_order").isNotNull(), pair))).alias("f"), F.count_if(F.col("finish_order") == 1).alias("winners"), F.max("line").alias("latest_line"),
+        ids(e).alias("p"), ids(F.when(F.col("odds") >= 2, e)).alias("q"))
+    finish = F.array_join(F.transform("f", lambda x: F.concat(x["entity_id"].cast("string"), F.lit(":"), x["finish_order"].cast("string"))), ",")
+    return c.select("contest_id", finish.alias("finish"), "winners", (F.size("f") > 0).alias("has_results"), F.col("latest_line").cast("long").alias("latest_line"), (F.col("p") == F.col("q")).alias("same_field"))
+
+
+QUERIES = {f.__name__: f for f in (segment_axes, segment_axes_by_year, cohort_report, scoring_log, page_link_ids, importance_list, split_customers, dividend_coverage, result_summary)}
 
 # --- oracles
 
@@ -171,5 +204,15 @@ SELECT cast(y AS int) AS y, batch, cast(count(DISTINCT contest_id) AS bigint) AS
 c AS (SELECT page_id, nullif(coalesce(nullif(regexp_extract(html, '(?i)<link\b[^>]*rel\s*=\s*["'']canonical["''][^>]*href\s*=\s*["'']([^"'']*)["'']', 1), ''), regexp_extract(html, '(?i)<link\b[^>]*href\s*=\s*["'']([^"'']*)["''][^>]*rel\s*=\s*["'']canonical["'']', 1)), '') AS canonical FROM pages),
 m AS (SELECT page_id, href, k, row_number() OVER (PARTITION BY page_id ORDER BY k DESC, href) AS r FROM k)
 SELECT c.page_id, cast(coalesce((SELECT sum(k) FROM k WHERE k.page_id = c.page_id), 0) AS bigint) AS links, cast(coalesce((SELECT sum(k) FROM k WHERE k.page_id = c.page_id AND regexp_matches(href, '/[0-9]+$')), 0) AS bigint) AS numbered, canonical, cast(coalesce(m.k, 0) AS bigint) AS most, m.href AS target FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.r = 1""",
+    "split_customers": """WITH o AS (SELECT o_custkey AS k, o_orderkey FROM orders), b AS (SELECT DISTINCT k, l_partkey FROM o JOIN lineitem ON l_orderkey = o_orderkey),
+p AS (SELECT c_custkey AS s, c_custkey - c_custkey % 4 AS c FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 4 <> 0),
+bm AS (SELECT b.k, l_partkey, coalesce(p.c, b.k) AS t, p.c FROM b LEFT JOIN p ON p.s = b.k), cl AS (SELECT DISTINCT x.k FROM bm x JOIN bm y ON x.t = y.t AND x.l_partkey = y.l_partkey AND x.k <> y.k WHERE x.c IS NOT NULL),
+r AS (SELECT s, c, CASE WHEN c NOT IN (SELECT c_custkey FROM customer) THEN 'no_canonical' WHEN s IN (SELECT k FROM cl) THEN 'collision' WHEN c % 5 = 0 AND s % 5 <> 0 AND (SELECT c_nationkey FROM customer WHERE c_custkey = s) IS NOT NULL THEN 'attribute_loss' END AS reason,
+ concat_ws(',', CASE WHEN (c % 5 = 0 OR c NOT IN (SELECT c_custkey FROM customer)) AND s % 5 <> 0 THEN 'nation' END, CASE WHEN c NOT IN (SELECT c_custkey FROM customer) THEN 'name' END) AS lost FROM p),
+n AS (SELECT k, sum(n) AS n FROM (SELECT k, count(*) AS n FROM o GROUP BY k UNION ALL SELECT k, count(*) FROM b GROUP BY k) z GROUP BY k), af AS (SELECT coalesce(r.c, o.k) AS k, count(*) AS n FROM o LEFT JOIN r ON r.s = o.k AND r.reason IS NULL GROUP BY 1)
+SELECT r.s AS source_id, r.c AS canonical_id, reason, lost, cast(coalesce(n.n, 0) AS bigint) AS rows, cast(coalesce(af.n, 0) AS bigint) AS orders_after FROM r LEFT JOIN n ON n.k = r.s LEFT JOIN af ON af.k = r.c""",
+    "dividend_coverage": """WITH l AS (SELECT a.contest_id, count(*) AS k FROM market a JOIN market b ON a.contest_id = b.contest_id AND a.entity_id < b.entity_id WHERE (a.entity_id + b.entity_id) % 11 <> 0 GROUP BY a.contest_id), f AS (SELECT contest_id, count(*) AS n FROM market GROUP BY contest_id)
+SELECT l.contest_id, t.bet_type, cast(k * m AS bigint) AS listed, cast(n * (n - 1) / 2 * m AS bigint) AS expected, CASE WHEN k = n * (n - 1) / 2 THEN 'full' ELSE 'partial' END AS scope FROM l JOIN f ON f.contest_id = l.contest_id CROSS JOIN (VALUES ('quinella', 1), ('exacta', 2)) t(bet_type, m)""",
+    "result_summary": """SELECT contest_id, coalesce(string_agg(entity_id || ':' || finish_order, ',' ORDER BY entity_id) FILTER (WHERE finish_order IS NOT NULL), '') AS finish, cast(count(CASE WHEN finish_order = 1 THEN 1 END) AS bigint) AS winners, bool_or(finish_order IS NOT NULL) AS has_results, cast(max(line) AS bigint) AS latest_line, min(odds) >= 2 AS same_field FROM runs GROUP BY contest_id""",
     "importance_list": "WITH " + "g AS (" + " UNION ALL ".join(f"SELECT year(day) AS y, '{c}' AS feature, round(coalesce(power(corr({c}, won), 2), 0), 6) AS gain FROM runs GROUP BY year(day)" for c in IMPORTANCES) + ") SELECT cast(y AS int) AS y, cast(row_number() OVER (PARTITION BY y ORDER BY gain DESC, feature) AS int) AS place, feature, gain FROM g",
 }

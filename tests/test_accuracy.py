@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from furlong import registry
 from furlong.functions import text as t
-from furlong.operators import cohort, segments as sg
+from furlong.operators import betting, cohort, segments as sg
 from furlong.plans import accuracy
-from furlong.sources import scoring, store
+from furlong.sources import repair, scoring, store
 
 from .test_panel import SF, canon
 
@@ -179,3 +179,35 @@ def test_pages_and_track_types(spark):
     kinds = [("芝", "G1", "春", None, "芝"), (" ダ ", None, None, None, "ダ"), ("芝", "ＪＧ１", None, None, "障"), ("芝", None, None, "中山大障害", "障"), ("", "G1", "x", "y", None), (None, None, None, None, None)]
     rows = spark.createDataFrame([(i, *k) for i, k in enumerate(kinds)], "i int, s string, k string, a string, b string, want string")
     assert all(r.got == r.want for r in rows.withColumn("got", t.track_type(F.col("s"), F.col("k"), F.col("a"), F.col("b"))).collect())
+
+
+def test_pairs_move_whole_or_stay_with_a_reason(spark):
+    ids = [("a", "A"), ("b", "B"), ("b", "C"), ("c", "d"), ("d", "D"), ("e", "gone"), ("f", "F"), ("g", "G"), ("h", "H"), ("i", "H"), ("same", "same"), (None, "A"), ("z", None)]
+    ids = spark.createDataFrame([(*x, "mapped") for x in ids] + [("u", "A", "unmapped")], "source_id string, canonical_id string, status string")
+    dim = spark.createDataFrame([(k, None if k == "G" else 1, None if k == "a" else "x") for k in "A B C D F G H a b c d e f g h i".split()] + [("a", None, None), (None, 1, "x")], "k string, year int, sex string")
+    runs = spark.createDataFrame([("a", 1), ("a", 2), ("A", 3), ("f", 1), ("F", 1), ("f", 2), ("h", 9), ("i", 9), ("e", 1), (None, 1)], "k string, c int")
+    odds = spark.createDataFrame([("a", 1, 2.0), ("g", 1, 3.0)], "k string, c int, o double")
+    judged = repair.judge(ids, dim, "k", ["year", "sex"], {"runs": (runs, ["k", "c"]), "odds": (odds, ["c"])})
+    got = {(r.source_id, r.canonical_id): (r.reason, r.lost, r.rows) for r in judged.collect()}
+    assert {k: v[0] for k, v in got.items()} == {("a", "A"): None, ("b", "B"): "ambiguous", ("b", "C"): "ambiguous", ("c", "d"): "chained", ("d", "D"): None, ("e", "gone"): "no_canonical", ("f", "F"): "collision", ("g", "G"): "attribute_loss", ("h", "H"): "collision", ("i", "H"): "collision"}
+    assert got["a", "A"] == (None, "", 3) and got["g", "G"] == ("attribute_loss", "year", 1)
+    moved = sorted(map(tuple, repair.move(judged, runs, "k").collect()), key=str)
+    assert moved == sorted([("A", 1), ("A", 2), ("A", 3), ("f", 1), ("F", 1), ("f", 2), ("h", 9), ("i", 9), ("e", 1), (None, 1)], key=str)
+    kept = [r.k for r in repair.without_orphans(judged, dim, "k").collect()]
+    assert "a" not in kept and "d" not in kept and {"b", "c", "e", "f", "g", "h", "i", None} <= set(kept)
+    assert repair.judge(ids.limit(0), dim, "k", [], {}).count() == 0
+
+
+def test_coverage_against_counted_selections(spark):
+    import itertools
+
+    n = 5
+    rows = [(1, name, list(c)) for name, (k, ordered) in betting.BET_TYPES.items() for c in (itertools.permutations if ordered else itertools.combinations)(range(n), k)]
+    rows += [(1, "trio", [2, 1, 0]), (2, "quinella", [1, 2]), (3, "wide", [1, 2]), (2, "odd", [1]), (2, "quinella", None), (4, "trio", [1, 2, 3])]
+    df = spark.createDataFrame(rows, "c int, bet_type string, selection array<int>")
+    fields = spark.createDataFrame([(1, n), (2, 3), (4, 2)], "c int, n int")
+    got = {(r.c, r.bet_type): (r.listed, r.expected, r.scope) for r in betting.coverage(df, fields, "c").collect()}
+    for name, (k, ordered) in betting.BET_TYPES.items():
+        want = math.perm(n, k) if ordered else math.comb(n, k)
+        assert got[1, name] == (want, want, "full")
+    assert got[2, "quinella"] == (1, 3, "partial") and got[3, "wide"] == (1, None, None) and got[2, "odd"] == (1, None, None) and got[4, "trio"] == (1, 0, "excess")
