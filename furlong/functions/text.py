@@ -136,9 +136,13 @@ def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"""(?i)\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
 
 
+#: Fixed value: what may stand between a link's segment and its id.
+LINK_INFIX = "result/recent/"
+
+
 def href_id(href: Column, segment: str) -> Column:
     """The word behind /segment/ in a link; null where there is none."""
-    found = F.regexp_extract(href, rf"/{segment}/(?:result/recent/)?(\w+)", 1)
+    found = F.regexp_extract(href, rf"/{segment}/(?:{LINK_INFIX})?(\w+)", 1)
     return F.when(found != "", found)
 
 
