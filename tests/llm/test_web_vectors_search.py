@@ -97,6 +97,19 @@ def test_url_hub_and_edges(spark):
         aliases.filter_urls(pages, [Rule("a", "/", "maybe")])
 
 
+def test_op11_oracle(spark):
+    """The query against its SQL, with the table that it reads (test_oracles gives DuckDB documents and benchmark only)."""
+    import duckdb
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.01"
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    got, want = queries.QUERIES["op11_redirect_classes"](spark, sf).toPandas(), con.sql(queries.ORACLE_SQL["op11_redirect_classes"]).df()
+    key = sorted(want.columns)
+    assert sorted(got.columns) == key and len(want) > 0
+    rows = lambda f: sorted(map(str, f[key].astype(object).where(f[key].notna(), None).values.tolist()))
+    assert rows(got) == rows(want)
+
+
 # --- whitening
 
 
