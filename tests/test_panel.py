@@ -51,6 +51,19 @@ def test_oracle(spark, duck, name):
     assert canon(got) == canon(want)
 
 
+def test_previous_contest(spark, duck):
+    """Against the oracle, and against a walk over each entity's starts by day and contest."""
+    got = registry.queries()["previous_contest"](spark, SF).toPandas()
+    assert canon(got) == canon(duck.sql(registry.oracle_sql()["previous_contest"]).df())
+    starts = duck.sql(with_parts("SELECT contest_id, entity_id, day, finish_order, won, odds FROM runs")).df().sort_values(["day", "contest_id"])
+    price, last, want = starts[starts.won == 1].groupby("contest_id").odds.min(), {}, []
+    for r in starts.itertuples():
+        c, finish = last.get(r.entity_id, (None, None))
+        want.append((r.contest_id, r.entity_id, finish, price.get(c)))
+        last[r.entity_id] = (r.contest_id, r.finish_order)
+    assert canon(got) == canon(pd.DataFrame(want, columns=["contest_id", "entity_id", "finish", "winner_odds"]))
+
+
 def test_every_query_has_an_oracle():
     assert set(registry.queries()) == set(registry.oracle_sql())
 
