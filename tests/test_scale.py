@@ -1,12 +1,15 @@
 """Queries that must stay within bounded disk and time, and rows on the edge of a comparison."""
 
+import datetime as dt
 import glob
 import os
+import re
 
 import duckdb
 import pytest
 
 from furlong import registry
+from furlong.operators import asof
 from tests.test_panel import SF, canon
 
 
@@ -37,3 +40,26 @@ def test_popularity_triples_stay_in_their_contest(spark, duck, no_broadcast):
     df = registry.queries()["popularity_triples"](spark, SF)
     assert exchanges(df) == 0
     assert canon(df.toPandas()) == canon(duck.sql(registry.oracle_sql()["popularity_triples"]).df())
+
+
+def test_matrix_moves_the_wide_row_once(spark, no_broadcast):
+    """Entries are looked up in their contest: no exchange is by contest and entity, and one block more adds no move of the wide row."""
+    df = registry.queries()["asof_matrix"](spark, SF)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"Exchange hashpartitioning\(contest_id#\w+, entity_id#\w+", text)
+    assert exchanges(df) <= 30
+
+
+def test_sums_before_and_joined_entries(spark):
+    """Null keys are a key, undated rows have no past, rows of one day do not see each other; a missing entry gives nulls."""
+    day = dt.date
+    rows = [(1, 7, day(2020, 1, 1), 1, 2), (2, 7, day(2020, 1, 1), 0, None), (3, 7, day(2020, 1, 5), 0, 4), (4, None, day(2020, 1, 3), 1, 1), (5, None, day(2020, 1, 4), 0, 3), (6, 7, None, 1, 1)]
+    df = spark.createDataFrame(rows, "c long, k long, day date, won int, place int")
+    blocks = {"x": (["k"], {"rate": ("won", "1"), "mean": ("place", "CASE WHEN place IS NOT NULL THEN 1 END")})}
+    got = {r.c: (r.x_starts, r.x_rate, r.x_mean) for r in asof.sums_before(df, "day", blocks).collect()}
+    assert got[1] == got[2] == (1, 1.0, 1.0) and got[4] == got[6] == (0, None, None)
+    assert got[3][0] == 3 and got[5] == (1, 1.0, 1.0)  # the undated row stands before all days
+    left = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (3, None)], "c long, e long")
+    found = spark.createDataFrame([(1, 10, 0.5, None), (2, 10, None, "b"), (9, 1, 1.0, "z")], "c long, e long, v double, w string")
+    out = asof.join_entries(left, found, "c", "e", ["v", "w"])
+    assert sorted(out.collect(), key=str) == sorted([(1, 10, 0.5, None), (1, 11, None, None), (2, 10, None, "b"), (3, None, None, None)], key=str)
