@@ -63,3 +63,10 @@ def test_sums_before_and_joined_entries(spark):
     found = spark.createDataFrame([(1, 10, 0.5, None), (2, 10, None, "b"), (9, 1, 1.0, "z")], "c long, e long, v double, w string")
     out = asof.join_entries(left, found, "c", "e", ["v", "w"])
     assert sorted(out.collect(), key=str) == sorted([(1, 10, 0.5, None), (1, 11, None, None), (2, 10, None, "b"), (3, None, None, None)], key=str)
+
+
+def test_model_inputs_do_not_shuffle_the_matrix(spark, duck, no_broadcast):
+    df = registry.queries()["model_inputs"](spark, SF)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"Exchange hashpartitioning\(contest_id#\w+, entity_id#\w+", text)
+    assert canon(df.toPandas()) == canon(duck.sql(registry.oracle_sql()["model_inputs"]).df())
