@@ -1,7 +1,9 @@
 """Queries that must stay within bounded disk and time, and rows on the edge of a comparison."""
 
 import datetime as dt
+import functools
 import glob
+import itertools
 import os
 import re
 
@@ -9,7 +11,7 @@ import duckdb
 import pytest
 
 from furlong import registry
-from furlong.operators import asof
+from furlong.operators import asof, growth
 from tests.test_panel import SF, canon
 
 
@@ -70,3 +72,18 @@ def test_model_inputs_do_not_shuffle_the_matrix(spark, duck, no_broadcast):
     text = df._jdf.queryExecution().executedPlan().toString()
     assert not re.findall(r"Exchange hashpartitioning\(contest_id#\w+, entity_id#\w+", text)
     assert canon(df.toPandas()) == canon(duck.sql(registry.oracle_sql()["model_inputs"]).df())
+
+
+@pytest.mark.parametrize("odds", [(2.0, 2.8, 7.0), (2.2, 4.4, 4.4, 11.0), (3.0, 3.6, 4.0, 7.2), (1.2, 6.0)])
+def test_growth_stakes_at_fair_odds(spark, odds):
+    """Where all totals from some stake on give the same growth, the least is taken, whatever the last digit of the sums."""
+    w = [(1 / o) ** 1.2 for o in odds]
+    rows = []
+    for c, order in enumerate(itertools.permutations(w)):
+        whole = functools.reduce(lambda t, x: t + x, order)  # not sum(), which rounds once
+        rows += [(c, e, x / whole, o) for e, (x, o) in enumerate(zip(w, odds))]
+    df = spark.createDataFrame(rows, "c long, e long, p double, o double")
+    got = {(r.c, r.e): r.stake for r in growth.growth_stakes(df, "c", "e", "p", "o", 0.25).collect()}
+    kept = min(p * o for c, _, p, o in rows if c == 0)  # the bank that is left when the entries of the least value are not bet on
+    assert kept > 0.75
+    assert all(abs(got[c, e] - max(0.0, p - kept / o)) < 1e-9 for c, e, p, o in rows)
