@@ -187,9 +187,11 @@ def policy_gate(s: SparkSession, d: str) -> DataFrame:
     policies = {"ev": F.col("p") * F.col("odds") >= 0.9, "ev_capped": (F.col("p") * F.col("odds") >= 0.9) & (F.col("odds") <= 8), "favourite": F.col("fav"), "uniform": F.lit(True)}
     named = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in policies.items()]), lambda x: x.isNotNull())
     by = m.withColumn("policy", F.explode(named)).groupBy("policy", "y").agg(F.sum(F.col("won") * F.col("odds")).alias("paid"), F.count("*").alias("bets"))
-    base = by.filter("policy = 'favourite'").select("y", (F.col("paid") / F.col("bets")).alias("b"), F.col("paid").alias("bp"), F.col("bets").alias("bn"))
-    j = by.join(base, "y", "left")
-    better = F.count_if(F.col("paid") / F.col("bets") > F.col("b"))
+    # the favourite's own sums, not sums taken again: those of another order may differ in the last digit, and it beat itself
+    year = Window.partitionBy("y")
+    of_favourite = lambda c: F.max(F.when(F.col("policy") == "favourite", F.col(c))).over(year)
+    j = by.withColumns({"bp": of_favourite("paid"), "bn": of_favourite("bets")})
+    better = F.count_if(F.col("paid") / F.col("bets") > F.col("bp") / F.col("bn"))
     total, fav = F.sum("paid") / F.sum("bets"), F.sum("bp") / F.sum("bn")
     out = j.groupBy("policy").agg(F.sum("bets").alias("bets"), F.round(total, 6).alias("recovery"), better.alias("better_years"), ((2 * better > F.count("*")) & (total > fav)).alias("adopt"))
     return out
