@@ -94,5 +94,20 @@ def report(sums: DataFrame, reps: int = 200) -> DataFrame:
 
 def by_year(sums: DataFrame) -> DataFrame:
     """(grain, axis, bucket, y, units, excess): the yearly points of the report; a contest counts in its winner's year."""
-    out = sums.groupBy(*KEYS, F.year("day").alias("y")).agg(F.sum("units").alias("units"), F.sum("gain").alias("gain")).filter("units > 0")
-    return out.select(*KEYS, "y", "units", (F.col("gain") / F.col("units")).alias("excess"))
+    return _points(sums.groupBy(*KEYS, F.year("day").alias("y")).agg(F.sum("units").alias("units"), F.sum("gain").alias("gain")))
+
+
+def yearly(entries: DataFrame, contest_axes: dict[str, Column], entry_axes: dict[str, Column], day: str = "day") -> DataFrame:
+    """The points of ``by_year`` from the ``entries`` (of ``with_losses``) at once: a task holds a sum for each bucket and year, and
+    nothing is stored. Of a contest only the winner's row counts, so the others are not spread over the contest axes."""
+    each = {"contest": (entries.filter("winner_nll is not null"), contest_axes, F.col("winner_nll") - F.col("uniform_nll")), "entry": (entries, entry_axes, F.col("excess"))}
+    out = None
+    for grain, (rows, axes, gain) in each.items():
+        rows = long_form(rows.withColumns({"__y": F.year(day), "__gain": gain}), axes, ["__y", "__gain"])
+        one = rows.groupBy(F.lit(grain).alias("grain"), "axis", "bucket", F.col("__y").alias("y")).agg(F.count("*").alias("units"), F.sum("__gain").alias("gain"))
+        out = one if out is None else out.unionByName(one)
+    return _points(out)
+
+
+def _points(sums: DataFrame) -> DataFrame:
+    return sums.filter("units > 0").select(*KEYS, "y", "units", (F.col("gain") / F.col("units")).alias("excess"))

@@ -11,7 +11,8 @@ import duckdb
 import pytest
 
 from furlong import registry
-from furlong.operators import asof, growth
+from furlong.operators import asof, growth, segments as sg
+from furlong.plans import accuracy
 from tests.test_panel import SF, canon
 
 
@@ -94,3 +95,14 @@ def test_policy_gate_takes_the_favourite_sums_once(spark, duck, no_broadcast):
     df = registry.queries()["policy_gate"](spark, SF)
     assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert canon(df.toPandas()) == canon(duck.sql(registry.oracle_sql()["policy_gate"]).df())
+
+
+def test_yearly_segments_store_no_day_sums(spark, duck, monkeypatch):
+    """The points come from one pass, not from sums by day and bin, and equal both the SQL and those of the day sums."""
+    want = sg.by_year(accuracy.segment_sums(spark, SF))
+    want = {tuple(r)[:5]: r.excess for r in want.collect()}
+    monkeypatch.setattr(sg, "day_sums", lambda *a, **k: pytest.fail("day sums were written"))
+    df = registry.queries()["segment_axes_by_year"](spark, SF)
+    got = {tuple(r)[:5]: r.excess for r in df.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    assert canon(df.toPandas()) == canon(duck.sql(registry.oracle_sql()["segment_axes_by_year"]).df())
