@@ -62,8 +62,7 @@ def returns_by_type(s: SparkSession, d: str) -> DataFrame:
 
 def pair_cells(s: SparkSession, d: str) -> DataFrame:
     """Unordered pairs of each contest: model probability, estimated odds from the market's, and expected value."""
-    m = market(s, d)
-    cells = joint.quinella(m).join(joint.quinella(m, p="q").withColumnRenamed("prob", "qprob"), ["contest_id", "low", "high"])
+    cells = joint.quinellas(market(s, d), {"prob": "p", "qprob": "q"})
     cells = cells.withColumn("odds", F.least(F.lit(CAP), PAYOUT / F.col("qprob")))
     return cells.select("contest_id", "low", "high", "prob", "odds", F.round(F.col("prob") * F.col("odds"), 9).alias("ev"))
 
@@ -117,7 +116,7 @@ def portfolio_cells(s: SparkSession, d: str) -> DataFrame:
     flat = 1 / F.count("*").over(w)
     cells = cells.withColumn("stake", F.map_from_arrays(F.array(F.lit("flat"), F.lit("probability")), F.array(flat, by_p)))
     cells = cells.select("k", "day", "payout", F.explode("stake").alias("staking", "stake"))
-    sums = cells.groupBy("k", "staking", "day").agg(F.sum(F.col("stake") * (F.col("payout") - 1)).alias("s"), F.sum("stake").alias("n"), F.count("*").alias("bets"))
+    sums = cells.groupBy("k", "staking", "day").agg(F.sum(F.col("stake") * (F.col("payout") - 1)).alias("s"), F.sum("stake").alias("n"), F.count("*").alias("bets")).persist()
     reps = bs.replicates(sums, "day", {"v": F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))}, 300, ["k", "staking"])
     test = bs.interval(reps, "v", by=["k", "staking"]).withColumn("cell", F.concat_ws("-", "k", "staking"))
     point = sums.groupBy("k", "staking").agg(F.sum("bets").alias("bets"), (F.sum("s") / F.sum("n")).alias("gain"))

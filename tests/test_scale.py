@@ -11,8 +11,9 @@ import duckdb
 import pytest
 
 from furlong import registry
-from furlong.operators import asof, growth, segments as sg
-from furlong.plans import accuracy
+from furlong.operators import asof, growth, joint, segments as sg
+from furlong.plans import accuracy, bets
+from furlong.sources.panel import market
 from tests.test_panel import SF, canon
 
 
@@ -106,3 +107,14 @@ def test_yearly_segments_store_no_day_sums(spark, duck, monkeypatch):
     got = {tuple(r)[:5]: r.excess for r in df.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
     assert canon(df.toPandas()) == canon(duck.sql(registry.oracle_sql()["segment_axes_by_year"]).df())
+
+
+def test_pair_cells_stay_in_their_contest(spark, duck, no_broadcast):
+    """Model and market probabilities of a pair come from one join within the contest; nothing is shuffled."""
+    cells = bets.pair_cells(spark, SF)
+    assert exchanges(cells) == 0
+    m = market(spark, SF)
+    parts = [{tuple(r)[:3]: r.prob for r in joint.quinella(m, p=p).collect()} for p in ("p", "q")]
+    got = {tuple(r)[:3]: (r.prob, r.qprob) for r in joint.quinellas(m, {"prob": "p", "qprob": "q"}).collect()}
+    assert got.keys() == parts[0].keys() and all(abs(got[k][i] - parts[i][k]) < 1e-12 for k in got for i in (0, 1))
+    assert canon(registry.queries()["portfolio_cells"](spark, SF).toPandas()) == canon(duck.sql(registry.oracle_sql()["portfolio_cells"]).df())
