@@ -6,6 +6,7 @@ import glob
 import itertools
 import os
 import re
+import time
 
 import duckdb
 import pytest
@@ -118,3 +119,16 @@ def test_pair_cells_stay_in_their_contest(spark, duck, no_broadcast):
     got = {tuple(r)[:3]: (r.prob, r.qprob) for r in joint.quinellas(m, {"prob": "p", "qprob": "q"}).collect()}
     assert got.keys() == parts[0].keys() and all(abs(got[k][i] - parts[i][k]) < 1e-12 for k in got for i in (0, 1))
     assert canon(registry.queries()["portfolio_cells"](spark, SF).toPandas()) == canon(duck.sql(registry.oracle_sql()["portfolio_cells"]).df())
+
+
+def test_pool_probabilities_end_when_they_rest(spark):
+    """What a contest costs depends on how soon it comes to rest, not on the rounds that are allowed; few rounds are kept to."""
+    q = [0.5, 0.3, 0.15, 0.05]
+    rows = [(c, a, b, q[a] * q[b] / (1 - q[a]) + q[a] * q[b] / (1 - q[b])) for c in range(200) for a in range(4) for b in range(a + 1, 4)]
+    pairs = spark.createDataFrame(rows, "contest long, low long, high long, share double")
+    start = time.monotonic()
+    got = growth.pool_probabilities(pairs, "contest", "low", "high", "share", rounds=100_000).collect()
+    assert time.monotonic() - start < 25
+    assert len(got) == 800 and all(abs(r.p - q[r.entity]) < 1e-12 and r.gap < 1e-12 for r in got)
+    few = {n: growth.pool_probabilities(pairs.filter("contest = 0"), "contest", "low", "high", "share", rounds=n).first().gap for n in (1, 2, 13, 25)}
+    assert few[1] > few[2] > few[13] > few[25] > 0
